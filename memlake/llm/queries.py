@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, packing, quality, substring, tokens
+from . import chat, decontaminate, packing, quality, sharding, substring, tokens, warc
 
 #: The tokenizer's file in the public collection; its place is asked of that package.
 TOKENIZER = "word_bpe_49k.json"
@@ -27,10 +28,25 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), 40)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.prefix_counts(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.read_back(chat.render(rows.unionByName(own)))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path(), 1)
 
@@ -56,6 +72,21 @@ _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D
 _ALNUM = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 ORACLES = {
+    "op4_warc_archives": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+        f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+        SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (h)""",
+    "op5_chat_formatting": """
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT conv_id, bool_or(contains(text, '<|end|>')) AS esc FROM c GROUP BY conv_id)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(14 + length(role) + CASE WHEN esc THEN 4 + length(replace(text, '<|', '<||')) ELSE 2 + length(text) END) AS BIGINT) AS formatted_chars
+        FROM c JOIN e USING (conv_id) GROUP BY conv_id""",
     "op8_substring_dedup": f"""
         WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         win AS (SELECT doc_id, i, list_slice(ws, i, i + 12) AS g FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 11)) AS i)),
