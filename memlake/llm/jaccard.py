@@ -9,10 +9,9 @@ must share a shingle under the others too before its sets are compared exactly.
 
 Equal sets are one class, known by its smallest document. A shingle in the
 prefixes of few classes makes all their pairs; one in many makes a star around a
-leader, and after the stars' links are known, only pairs that are in no common
-component and that the triangle inequality on Jaccard distances doesn't rule
-out. No link between different components is lost, and a large group of near
-copies costs a star, not all its pairs.
+leader, then a few pairs a member; pairs in one component are settled, and those
+that are left are compared. No link between different components is
+lost, and a large group of near copies costs a few stars, not all its pairs.
 """
 
 from __future__ import annotations
@@ -36,7 +35,11 @@ SEEDS = tuple(np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xC
 #: log2 of the sketch's least and most counters.
 SKETCH_LEAST, SKETCH_MOST, SKETCH_PARTS = 16, 24, 32
 #: Classes of a prefix shingle up to which all pairs are made.
-FEW = 8
+FEW = 24
+#: Rounds of few pairs for shingles of more classes, before all that are left.
+ROUNDS = 4
+#: Partners that a member meets in each of those rounds but the first.
+PARTNERS = 3
 #: Bytes of input for a bucket of prefixes, and ids up to which a list of them is broadcast.
 BUCKET_BYTES, BROADCAST_IDS = 40 << 20, 1_000_000
 
@@ -100,7 +103,7 @@ _DOCS = "doc_id long, n long, c1 long, c2 long, part int, payload binary"
 def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """Each document's set size and class; and rarity levels by sketch cell, from counts over all documents."""
     words = max(1, plan_bytes(docs) // 4)
-    cells = 1 << int(np.clip(np.ceil(np.log2(words / 64)), SKETCH_LEAST, SKETCH_MOST))
+    cells = 1 << int(np.clip(np.ceil(np.log2(words / 16)), SKETCH_LEAST, SKETCH_MOST))
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
 
     def count(it):
@@ -135,7 +138,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     levels = np.zeros(cells, np.uint8)
     if sums:
         c = np.concatenate([sums[k] for k in range(SKETCH_PARTS)]).astype(float)
-        usual = 2 * c.mean() + 8
+        usual = c.mean() + 4 * np.sqrt(c.mean()) + 4
         levels = np.where(c > usual, np.clip(np.log2(np.maximum(c, 1) / usual) + 1, 1, 15), 0).astype(np.uint8)
     return found.filter("part IS NULL").select("doc_id", "n", "c1", "c2"), levels
 
@@ -157,16 +160,16 @@ def _post(buf, offsets, key, levels, buckets):
     doc = np.repeat(np.arange(len(n)), n)
     rank = np.lexsort((order_key(h, levels, 0), doc))
     place = np.arange(len(h)) - np.repeat(bounds[:-1], n)
-    take = rank[(place < np.repeat(prefix_size(n), n)) & np.repeat(mine, n)]
-    token, of = h[take], doc[take]
+    chosen = (place < np.repeat(prefix_size(n), n)) & np.repeat(mine, n)
+    token, of, pos = h[rank[chosen]], doc[rank[chosen]], place[chosen].astype(np.uint32)
     bucket = (token % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((token, bucket))
-    token, of, bucket = token[order], of[order], bucket[order]
+    token, of, pos, bucket = token[order], of[order], pos[order], bucket[order]
     cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
     out = []
     for x, y in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
         some, at = np.unique(of[x:y], return_inverse=True)
-        out.append(_squeeze(token[x:y], at.astype(np.uint16 if len(some) < 65536 else np.uint32), key[some], n[some].astype(np.int32), c1[some]))
+        out.append(_squeeze(token[x:y], at.astype(np.uint16 if len(some) < 65536 else np.uint32), pos[x:y], key[some], n[some].astype(np.int32), c1[some]))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array(out, pa.binary())], names=["bucket", "payload"])
 
@@ -181,15 +184,47 @@ def comparable(a, b):
     return SIMILAR[1] * np.minimum(a, b) >= SIMILAR[0] * np.maximum(a, b)
 
 
+def _viable(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Members (sorted by size) that the bound of positions may allow some partner; see least_common."""
+    room = n - pos
+    sizes, at = np.unique(n, return_inverse=True)
+    most = np.zeros(len(sizes), np.int64)
+    np.maximum.at(most, at, room)
+    if len(sizes) > 4096:
+        return np.ones(len(n), bool)
+    out = np.zeros(len(n), bool)
+    for k, x in enumerate(sizes.tolist()):
+        mine = at == k
+        ok = comparable(sizes, x)
+        least = least_common(sizes[ok], x)
+        # The smallest overlap asked for by a size whose roomiest member can give it.
+        able = least[most[ok] >= least]
+        if len(able):
+            out[mine] = room[mine] >= able.min()
+    return out
+
+
+def allowed(n_a, pos_a, n_b, pos_b):
+    """Whether sets of these sizes that first meet at these positions can be similar."""
+    return comparable(n_a, n_b) & (np.minimum(n_a - pos_a, n_b - pos_b) >= least_common(n_a, n_b))
+
+
+def least_common(a, b):
+    """Shingles that similar sets of these sizes share at least."""
+    t, u = SIMILAR
+    return -(-t * (a + b) // (t + u))
+
+
 _FOUND = "a long, b long, list long, members binary"
 
 
 def _candidates(payloads: list[bytes]):
     """Pairs, and lists of many members, of one bucket's prefixes."""
-    token, at, doc, n, c1, base = [], [], [], [], [], 0
+    token, at, pos, doc, n, c1, base = [], [], [], [], [], [], 0
     for p in payloads:
-        t, i, d, m, c = _expand(p)
+        t, i, q, d, m, c = _expand(p)
         token.append(t)
+        pos.append(q)
         at.append(i.astype(np.int64) + base)
         doc.append(d)
         n.append(m)
@@ -197,7 +232,7 @@ def _candidates(payloads: list[bytes]):
         base += len(d)
     if not token:
         return
-    token, at, doc, n, c1 = (np.concatenate(x) for x in (token, at, doc, n, c1))
+    token, at, pos, doc, n, c1 = (np.concatenate(x) for x in (token, at, pos, doc, n, c1))
     # Classes of the whole bucket, each known by its smallest document.
     order = np.lexsort((doc, n, c1))
     new = np.ones(len(order), bool)
@@ -207,35 +242,43 @@ def _candidates(payloads: list[bytes]):
     doc, n = doc[order][new], n[order][new].astype(np.int64)
     at = own[at]
     order = np.argsort(token, kind="stable")
-    token, at = token[order], at[order]
+    token, at, pos = token[order], at[order], pos[order].astype(np.int64)
     same = token[1:] == token[:-1]
     some = np.zeros(len(token), bool)
     some[1:] |= same
     some[:-1] |= same
-    token, at = token[some], at[some]
+    token, at, pos = token[some], at[some], pos[some]
     order = np.lexsort((doc[at], n[at], token))
-    token, at = token[order], at[order]
+    token, at, pos = token[order], at[order], pos[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (at[1:] != at[:-1])
-    token, at = token[new], at[new]
+    token, at, pos = token[new], at[new], pos[new]
+    head = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(token)))
+    # Of long lists only members stay that have room for a partner of some size there is.
+    keep = np.ones(len(token), bool)
+    for x, g in zip(head[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+        m = slice(x, x + g)
+        keep[m] = _viable(n[at[m]], pos[m])
+    token, at, pos = token[keep], at[keep], pos[keep]
     head = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(token)))
     in_few = np.repeat(size <= FEW, size)
     left, right = [], []
     for d in range(1, FEW):
         i = np.flatnonzero((token[d:] == token[:-d]) & in_few[d:])
-        left.append(at[i])
-        right.append(at[i + d])
+        left.append(i)
+        right.append(i + d)
     lists: dict[int, bytes] = {}
     for x, g in zip(head[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
         m = at[x : x + g]
-        lead = m[leader_of(n[m], doc[m])]
-        left.append(np.full(g, lead))
-        right.append(m)
-        key = int(np.bitwise_xor.reduce(mix(doc[m].astype(np.uint64)))) ^ g
-        lists.setdefault(key, _squeeze(doc[m], n[m]))
-    left, right = np.concatenate(left), np.concatenate(right)
-    ok = (left != right) & comparable(n[left], n[right])
+        left.append(np.full(g, x + leader_of(n[m], doc[m])))
+        right.append(np.arange(x, x + g))
+        lists[int(token[x])] = _squeeze(doc[m], n[m], pos[x : x + g])
+    i, j = np.concatenate(left), np.concatenate(right)
+    # A pair's first common shingle leaves at most so many; at others the test may fail, or let it pass in vain.
+    left, right = at[i], at[j]
+    ok = (left != right) & allowed(n[left], pos[i], n[right], pos[j])
     pair = np.unique(np.minimum(left, right)[ok] * len(n) + np.maximum(left, right)[ok])
     a, b = doc[pair // len(n)] if len(n) else pair, doc[pair % len(n)] if len(n) else pair
     yield np.minimum(a, b), np.maximum(a, b), lists
@@ -268,11 +311,11 @@ def candidates(docs: DataFrame, levels) -> DataFrame:
     return staged(posted.mapInArrow(meet, _FOUND))
 
 
-def compare(pairs: DataFrame, docs: DataFrame, levels) -> DataFrame:
-    """a, b, inter, total: exact sizes of intersection and union, of pairs that every order lets through.
+def _attached(pairs: DataFrame, docs: DataFrame, make) -> DataFrame:
+    """a, b, set_a, set_b: what make(set) gives of the documents of each pair.
 
-    Others have inter -1. Only the sets of documents in pairs travel: those of b to
-    the pairs, then with them to a's, whose many pairs Spark may split.
+    Only documents in pairs are made; each b's travels to its pairs, then with them
+    to a's, whose many pairs Spark may split.
     """
     need = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -285,70 +328,112 @@ def compare(pairs: DataFrame, docs: DataFrame, levels) -> DataFrame:
             key = ids(b.column(0))
             for i, j, buf, offsets in chunks(*buffers(b.column(1))):
                 h, bounds = shingles(buf, offsets)
-                raw = h.tobytes()
-                yield from batches([key[i:j], pa.array([raw[8 * x : 8 * y] for x, y in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)], pa.binary())], schema)
+                yield from batches([key[i:j], pa.array([make(h[x:y]) for x, y in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)], pa.binary())], schema)
 
     held = rows.mapInArrow(sets, "doc_id long, set binary")
     both = pairs.select("a", "b").join(held.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    both = both.join(held.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
+    return both.join(held.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
+
+
+def compare(pairs: DataFrame, docs: DataFrame, levels) -> DataFrame:
+    """a, b, inter, total: exact sizes of intersection and union of the pairs that every order lets through."""
     out = pa.schema([(x, pa.int64()) for x in ("a", "b", "inter", "total")])
 
     def verify(it):
-        last, ordered = None, []
+        last, size_x, ordered = None, 0, []
         for batch in it:
-            inter, total = [], []
-            a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, raw_a, raw_b in zip(a_ids, batch.column(2), batch.column(3), strict=True):
+            found = []
+            for a, b, raw_a, raw_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(raw_a.as_buffer(), np.uint64), np.frombuffer(raw_b.as_buffer(), np.uint64)
                 if a != last or len(x) != size_x:
                     last, size_x, ordered = a, len(x), [prefix(x, levels.value, k) for k in (1, 2)]
-                if all(np.isin(prefix(y, levels.value, k), o).any() for k, o in zip((1, 2), ordered, strict=True)):
+                if len(x) and len(y) and all(np.isin(prefix(y, levels.value, k), o).any() for k, o in zip((1, 2), ordered, strict=True)):
                     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                     both = int((x[at] == y).sum())
-                    inter.append(both)
-                    total.append(len(x) + len(y) - both)
-                else:
-                    inter.append(-1)
-                    total.append(len(x) + len(y))
-            yield from batches([batch.column(0), batch.column(1), inter, total], out)
+                    found.append((a, b, both, len(x) + len(y) - both))
+            if found:
+                yield from batches([np.array(c) for c in zip(*found, strict=True)], out)
 
-    return both.mapInArrow(verify, "a long, b long, inter long, total long")
+    return _attached(pairs, docs, lambda h: h.tobytes()).mapInArrow(verify, "a long, b long, inter long, total long")
 
 
-def _rest(lists: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of long lists that are in different components and may yet be similar."""
-    schema = pa.schema([("list", pa.int64()), ("lead", pa.int64()), ("doc", pa.int64()), ("n", pa.int64())])
+def _members(lists: DataFrame) -> DataFrame:
+    """list, doc, n, pos of prefix shingles of many classes."""
+    schema = pa.schema([("list", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
 
     def members(it):
         for b in it:
             for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                doc, n = _expand(raw)
-                yield from batches([np.full(len(doc), key), np.full(len(doc), doc[leader_of(n, doc)]), doc, n], schema)
-
-    rows = lists.mapInArrow(members, "list long, lead long, doc long, n long")
-    rows = rows.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    rows = rows.withColumn("a", F.least("lead", "doc")).withColumn("b", F.greatest("lead", "doc"))
-    rows = rows.join(found.filter("inter >= 0").select("a", "b", (1 - F.col("inter") / F.col("total")).alias("far")), ["a", "b"], "left")
-    rows = rows.select("list", "doc", "n", "component", F.when(F.col("doc") == F.col("lead"), 0.0).otherwise(F.col("far")).alias("far"))
-    grouped = rows.groupBy("list").agg(F.collect_list(F.struct("n", "doc", "component", F.coalesce("far", F.lit(-1.0)).alias("far"))).alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    open_lists = grouped.filter("c0 <> c1").select(F.sort_array("m").alias("m"))
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    most = 1 - SIMILAR[0] / SIMILAR[1] + 1e-9
+                doc, n, pos = _expand(raw)
+                yield from batches([np.full(len(doc), key), doc, n, pos], schema)
+
+    return lists.mapInArrow(members, "list long, doc long, n long, pos long")
+
+
+def _open(members: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
+    """m: members (n, doc, pos, component, links) of the lists that are not in one component yet."""
+    ends = links.select(F.col("a").alias("doc")).unionByName(links.select(F.col("b").alias("doc")))
+    degree = ends.groupBy("doc").agg(F.count("*").alias("links"))
+    rows = members.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").join(degree, "doc", "left")
+    member = F.struct("n", "doc", "pos", F.coalesce("component", "doc").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    grouped = rows.groupBy("list").agg(F.collect_list(member).alias("m"), F.min(F.coalesce("component", "doc")).alias("c0"), F.max(F.coalesce("component", "doc")).alias("c1"))
+    return grouped.filter("c0 <> c1").select(F.sort_array("m").alias("m"))
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _arrays(m):
+    return (x.to_numpy(zero_copy_only=False) for x in m.values.flatten())
+
+
+def _some(open_lists: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
+    """New pairs between components, a few for each member of an open list.
+
+    At first every member meets the list's member of most links: copies of one text
+    have more links with it than with each other. Then each meets a few members of
+    other components, by a hash that changes with the turn; one link settles all
+    pairs of two components.
+    """
+
+    def some(it):
+        for batch in it:
+            for m in batch.column(0):
+                n, doc, pos, comp, links = _arrays(m)
+                by = mix(doc.astype(np.uint64) ^ SEEDS[turn % len(SEEDS)] + np.uint64(turn))
+                if turn == 0:
+                    lead = np.lexsort((by, -links))[0]
+                    k = np.flatnonzero((comp != comp[lead]) & allowed(n, pos, n[lead], pos[lead]))
+                    yield from batches([np.minimum(doc[k], doc[lead]), np.maximum(doc[k], doc[lead])], _PAIRS)
+                    continue
+                left, right = [], []
+                for i in range(len(n)):
+                    k = np.flatnonzero((comp != comp[i]) & allowed(n, pos, n[i], pos[i]))
+                    if len(k):
+                        k = k[np.argsort(mix(by[k] ^ by[i]))[:PARTNERS]]
+                        left.append(np.full(len(k), doc[i]))
+                        right.append(doc[k])
+                if left:
+                    x, y = np.concatenate(left), np.concatenate(right)
+                    yield from batches([np.minimum(x, y), np.maximum(x, y)], _PAIRS)
+
+    return open_lists.mapInArrow(some, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+
+
+def _rest(open_lists: DataFrame, tried: DataFrame) -> DataFrame:
+    """All other pairs of open lists that are in different components."""
 
     def pairs(it):
         for batch in it:
             for m in batch.column(0):
-                v = m.values.flatten()
-                n, doc, comp, far = (x.to_numpy(zero_copy_only=False) for x in v)
+                n, doc, pos, comp, _ = _arrays(m)
                 for i in range(len(n)):
                     # Sorted by size: those that n[i] can be similar to end here.
-                    j = np.searchsorted(n, n[i] * SIMILAR[1] // SIMILAR[0], "right")
-                    k = np.arange(i + 1, j)
-                    k = k[(comp[k] != comp[i]) & ((far[k] < 0) | (far[i] < 0) | (np.abs(far[k] - far[i]) <= most))]
-                    if len(k):
-                        yield from batches([np.minimum(doc[i], doc[k]), np.maximum(doc[i], doc[k])], out)
+                    k = np.arange(i + 1, np.searchsorted(n, n[i] * SIMILAR[1] // SIMILAR[0], "right"))
+                    k = k[(comp[k] != comp[i]) & allowed(n[k], pos[k], n[i], pos[i])]
+                    yield from batches([np.minimum(doc[i], doc[k]), np.maximum(doc[i], doc[k])], _PAIRS)
 
-    return open_lists.mapInArrow(pairs, "a long, b long").distinct().join(found.select("a", "b"), ["a", "b"], "left_anti")
+    return open_lists.mapInArrow(pairs, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def similar(found: DataFrame) -> DataFrame:
@@ -368,16 +453,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     described, cells = describe(docs)
     levels = sc.broadcast(cells)
     found = candidates(docs, levels)
-    checked = staged(compare(found.filter("list IS NULL").select("a", "b").distinct(), docs, levels))
-    links = similar(checked).select("a", "b")
-    lists = staged(found.filter("list IS NOT NULL").select("list", "members").dropDuplicates(["list"]))
+    tried = staged(found.filter("list IS NULL").select("a", "b").distinct())
+    links = staged(similar(compare(tried, docs, levels)).select("a", "b").distinct())
     known = components(links)
-    if not lists.isEmpty():
-        rest = staged(_rest(lists, checked, known))
-        if not rest.isEmpty():
-            more = staged(similar(compare(rest, docs, levels)).select("a", "b"))
-            if not more.isEmpty():
-                known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    members = staged(_members(found.filter("list IS NOT NULL").select("list", "members")))
+    for turn in range(ROUNDS + 1 if not members.isEmpty() else 0):
+        lists = staged(_open(members, links, known))
+        if lists.isEmpty():
+            break
+        new = staged(_rest(lists, tried) if turn == ROUNDS else _some(lists, tried, turn))
+        if new.isEmpty():
+            continue
+        more = staged(similar(compare(new, docs, levels)).select("a", "b").distinct())
+        tried = tried.unionByName(new)
+        if not more.isEmpty():
+            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+            links = links.unionByName(more)
     classes = described.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"))
     named = classes.join(known, classes["rep"] == known["node"], "left").select("n", "c1", "c2", F.coalesce("component", "rep").alias("_component"))
     out = described.join(named, ["n", "c1", "c2"], "left")
