@@ -14,6 +14,10 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
+#: Links up to which the stars' minima are broadcast; more are joined by shuffling.
+BROADCAST_LINKS = 1_000_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that links a, b lead to. Only nodes with links to others are listed.
 
@@ -27,13 +31,14 @@ def components(links: DataFrame) -> DataFrame:
     edges, before = staged(edges), None
     while (now := _mark(edges)) != before and now[0]:
         before = now
+        held = F.broadcast if now[0] <= BROADCAST_LINKS else (lambda df: df)
         # Large star: neighbours above u go to the least of u's star.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(held(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # Small star: u and its neighbours below u go to the least of those.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = large.join(held(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

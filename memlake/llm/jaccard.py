@@ -37,9 +37,9 @@ SKETCH_LEAST, SKETCH_MOST, SKETCH_PARTS = 16, 24, 32
 #: Classes of a prefix shingle up to which all pairs are made.
 FEW = 24
 #: Rounds of few pairs for shingles of more classes, before all that are left.
-ROUNDS = 4
-#: Partners that a member meets in each of those rounds but the first.
-PARTNERS = 3
+ROUNDS = 2
+#: Partners that a member meets in each of those rounds.
+PARTNERS = 6
 #: Bytes of input for a bucket of prefixes, and ids up to which a list of them is broadcast.
 BUCKET_BYTES, BROADCAST_IDS = 40 << 20, 1_000_000
 
@@ -370,12 +370,10 @@ def _members(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(members, "list long, doc long, n long, pos long")
 
 
-def _open(members: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
-    """m: members (n, doc, pos, component, links) of the lists that are not in one component yet."""
-    ends = links.select(F.col("a").alias("doc")).unionByName(links.select(F.col("b").alias("doc")))
-    degree = ends.groupBy("doc").agg(F.count("*").alias("links"))
-    rows = members.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").join(degree, "doc", "left")
-    member = F.struct("n", "doc", "pos", F.coalesce("component", "doc").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+def _open(members: DataFrame, known: DataFrame) -> DataFrame:
+    """m: members (n, doc, pos, component) of the lists that are not in one component yet."""
+    rows = members.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left")
+    member = F.struct("n", "doc", "pos", F.coalesce("component", "doc").alias("component"))
     grouped = rows.groupBy("list").agg(F.collect_list(member).alias("m"), F.min(F.coalesce("component", "doc")).alias("c0"), F.max(F.coalesce("component", "doc")).alias("c1"))
     return grouped.filter("c0 <> c1").select(F.sort_array("m").alias("m"))
 
@@ -390,22 +388,15 @@ def _arrays(m):
 def _some(open_lists: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
     """New pairs between components, a few for each member of an open list.
 
-    At first every member meets the list's member of most links: copies of one text
-    have more links with it than with each other. Then each meets a few members of
-    other components, by a hash that changes with the turn; one link settles all
-    pairs of two components.
+    A member meets a few members of other components, by a hash that changes with
+    the turn; one link settles all pairs of two components.
     """
 
     def some(it):
         for batch in it:
             for m in batch.column(0):
-                n, doc, pos, comp, links = _arrays(m)
+                n, doc, pos, comp = _arrays(m)
                 by = mix(doc.astype(np.uint64) ^ SEEDS[turn % len(SEEDS)] + np.uint64(turn))
-                if turn == 0:
-                    lead = np.lexsort((by, -links))[0]
-                    k = np.flatnonzero((comp != comp[lead]) & allowed(n, pos, n[lead], pos[lead]))
-                    yield from batches([np.minimum(doc[k], doc[lead]), np.maximum(doc[k], doc[lead])], _PAIRS)
-                    continue
                 left, right = [], []
                 for i in range(len(n)):
                     k = np.flatnonzero((comp != comp[i]) & allowed(n, pos, n[i], pos[i]))
@@ -426,7 +417,7 @@ def _rest(open_lists: DataFrame, tried: DataFrame) -> DataFrame:
     def pairs(it):
         for batch in it:
             for m in batch.column(0):
-                n, doc, pos, comp, _ = _arrays(m)
+                n, doc, pos, comp = _arrays(m)
                 for i in range(len(n)):
                     # Sorted by size: those that n[i] can be similar to end here.
                     k = np.arange(i + 1, np.searchsorted(n, n[i] * SIMILAR[1] // SIMILAR[0], "right"))
@@ -454,11 +445,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     levels = sc.broadcast(cells)
     found = candidates(docs, levels)
     tried = staged(found.filter("list IS NULL").select("a", "b").distinct())
-    links = staged(similar(compare(tried, docs, levels)).select("a", "b").distinct())
-    known = components(links)
+    known = components(similar(compare(tried, docs, levels)).select("a", "b"))
     members = staged(_members(found.filter("list IS NOT NULL").select("list", "members")))
     for turn in range(ROUNDS + 1 if not members.isEmpty() else 0):
-        lists = staged(_open(members, links, known))
+        lists = staged(_open(members, known))
         if lists.isEmpty():
             break
         new = staged(_rest(lists, tried) if turn == ROUNDS else _some(lists, tried, turn))
@@ -468,7 +458,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         tried = tried.unionByName(new)
         if not more.isEmpty():
             known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-            links = links.unionByName(more)
     classes = described.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"))
     named = classes.join(known, classes["rep"] == known["node"], "left").select("n", "c1", "c2", F.coalesce("component", "rep").alias("_component"))
     out = described.join(named, ["n", "c1", "c2"], "left")
