@@ -194,12 +194,12 @@ def split_lines(value):
 
 def whole_files(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
     """path, value: one row a file."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def session_name(path):
