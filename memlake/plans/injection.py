@@ -10,8 +10,8 @@ from ..operators.search import Index, search_for_injection
 
 # Fixed values of the envelope and its limits.
 LIMIT, MAX_RANK, BUDGET_TOKENS = 3, -1.0, 500
-HEADER = "<not-goldfish-memory>\nMemórias de sessões anteriores relevantes ao pedido (proveniência entre colchetes; use `ng search <termos>` para recuperar mais):\n"
-FOOTER = "</not-goldfish-memory>"
+HEADER = "<memory-lake-context>\nMemórias de sessões anteriores relevantes ao pedido (proveniência entre colchetes; use `ng search <termos>` para recuperar mais):\n"
+FOOTER = "</memory-lake-context>"
 
 
 def first_of_equal(hits: DataFrame, limit: int) -> DataFrame:

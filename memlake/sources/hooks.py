@@ -10,7 +10,7 @@ from ..functions import text as T
 # Keys that hold a path or a response's text, in order of preference, and marks of own output.
 PATH_KEYS = ("file_path", "path", "notebook_path")
 TEXT_KEYS = ("output", "stdout", "content", "result", "text")
-OWN_MARKS = ("[ng-evicted:", "<not-goldfish-memory>")
+OWN_MARKS = ("[ng-evicted:", "<memory-lake-context>")
 OWN_BINARY = "ng"
 LINE_CAP = 16 << 20
 
