@@ -26,8 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/memlake-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends here."""
+def staged(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends here.
+
+    parts, where given, bounds its files and the tasks that write them.
+    """
+    df = df.coalesce(parts) if parts else df
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -18,17 +18,17 @@ def _mark(edges: DataFrame) -> tuple:
 BROADCAST_LINKS = 1_000_000
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
     """node, component: the smallest node that links a, b lead to. Only nodes with links to others are listed.
 
     Each round points every neighbour at the smallest node of its star. Stars are
     joined with their minimum, never gathered, so a node with very many links is
     no task's list; the minima are summed before they are shuffled. Rounds end
     when the table stays as it is, after about log(nodes) of them; each is written
-    to the shared folder, which cuts the lineage.
+    to the shared folder, in `parts` files at most, which cuts the lineage.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    edges, before = staged(edges), None
+    edges, before = staged(edges, parts), None
     while (now := _mark(edges)) != before and now[0]:
         before = now
         held = F.broadcast if now[0] <= BROADCAST_LINKS else (lambda df: df)
@@ -39,6 +39,6 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: u and its neighbours below u go to the least of those.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(held(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), parts)
     found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

@@ -317,7 +317,7 @@ def _attached(pairs: DataFrame, docs: DataFrame, make) -> DataFrame:
     Only documents in pairs are made; each b's travels to its pairs, then with them
     to a's, whose many pairs Spark may split.
     """
-    need = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    need = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), max(12, -(-plan_bytes(docs) // BUCKET_BYTES)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     few = need.count() <= BROADCAST_IDS
     rows = rows.join(F.broadcast(need) if few else need, "doc_id", "left_semi")
@@ -444,20 +444,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     described, cells = describe(docs)
     levels = sc.broadcast(cells)
     found = candidates(docs, levels)
-    tried = staged(found.filter("list IS NULL").select("a", "b").distinct())
-    known = components(similar(compare(tried, docs, levels)).select("a", "b"))
+    # Pairs are far fewer than documents: so many parts hold them at any size of the input.
+    parts = max(12, -(-plan_bytes(docs) // BUCKET_BYTES))
+    tried = staged(found.filter("list IS NULL").select("a", "b").distinct(), parts)
+    known = components(similar(compare(tried, docs, levels)).select("a", "b"), parts)
     members = staged(_members(found.filter("list IS NOT NULL").select("list", "members")))
     for turn in range(ROUNDS + 1 if not members.isEmpty() else 0):
-        lists = staged(_open(members, known))
+        lists = staged(_open(members, known), parts)
         if lists.isEmpty():
             break
-        new = staged(_rest(lists, tried) if turn == ROUNDS else _some(lists, tried, turn))
+        new = staged(_rest(lists, tried) if turn == ROUNDS else _some(lists, tried, turn), parts)
         if new.isEmpty():
             continue
-        more = staged(similar(compare(new, docs, levels)).select("a", "b").distinct())
+        more = staged(similar(compare(new, docs, levels)).select("a", "b").distinct(), parts)
         tried = tried.unionByName(new)
         if not more.isEmpty():
-            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), parts)
     classes = described.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"))
     named = classes.join(known, classes["rep"] == known["node"], "left").select("n", "c1", "c2", F.coalesce("component", "rep").alias("_component"))
     out = described.join(named, ["n", "c1", "c2"], "left")
