@@ -4,9 +4,10 @@ Consecutive windows that share a minimiser (the smallest hash of a few words in
 the window) are one packed string. It travels to the minimiser's bucket, so
 equal windows meet there, each word being sent about three times, not once for
 every window it is in. In a bucket windows are sorted and counted exactly. What
-a chunk of documents can settle by itself is not sent: of windows that occur
-there more than once, only the first, of the smallest id, leaves the chunk, so
-groups of copies shrink to one string a chunk before the shuffle.
+a chunk of documents can settle by itself is not sent: of windows that several
+ids have there, only those of the smallest id leave the chunk, so groups of
+copies shrink to one string a chunk before the shuffle. A document sends a window
+and is told of it once, for its first place; the others are found when it is cut.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, batches, ids, longs, partitions_for, plan_bytes
 from .tokens import spread
-from .words import Words, buffers, chunks, cover
+from .words import Words, buffers, chunks, cover, mix, window_hash
 
 #: Words of a window and of a minimiser.
 WINDOW, MINIMISER = 13, 3
@@ -46,8 +47,8 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows whose words also start in a smaller document, and windows that say what a smaller row has said."""
+def later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows whose words also start in a smaller document, and windows that the same row has before. Rows are in order."""
     order = np.argsort(h1, kind="stable")
     s = h1[order]
     same = s[1:] == s[:-1]
@@ -62,10 +63,28 @@ def later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
     least = d[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(some) else d
     flagged, again = np.zeros(len(h1), bool), np.zeros(len(h1), bool)
     flagged[some] = d > least
-    again[some] = ~new
+    again[some[1:]] = ~new[1:] & (row[some][1:] == row[some][:-1])
     return flagged, again
 
 
+def everywhere(w: Words, first: np.ndarray, n: int) -> np.ndarray:
+    """All windows with the words of one of the windows `first` of the same document."""
+    told = np.zeros(len(w), bool)
+    told[first] = True
+    docs, at = w.doc(), w.windows(n)
+    at = at[np.isin(docs[at], docs[first])]
+    h1, h2, d = w.window_hashes(at, n), w.window_hashes(at, n, 1), docs[at]
+    key = mix(h1 + d.astype(np.uint64))
+    some = np.flatnonzero(np.isin(key, key[told[at]]))
+    some = some[np.lexsort((h2[some], h1[some], d[some]))]
+    if not len(some):
+        return first
+    new = np.ones(len(some), bool)
+    new[1:] = (d[some][1:] != d[some][:-1]) | (h1[some][1:] != h1[some][:-1]) | (h2[some][1:] != h2[some][:-1])
+    found = np.logical_or.reduceat(told[at][some], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return np.union1d(first, at[some[found]])
+
+
 _ROWS = pa.schema([("bucket", pa.int32()), ("dest", pa.int32()), ("payload", pa.binary())])
 _ROW_COLUMNS = "bucket int, dest int, payload binary"
 _FLAG_TYPES = ("<i8", "<u2", "<i4")
@@ -99,20 +118,30 @@ def _flags(doc: np.ndarray, row: np.ndarray, at: np.ndarray, dests: int, buckets
     yield from batches([to % buckets, to, pa.array([_squeeze(*(a[x:y].tobytes() for a in arrays)) for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], _ROWS)
 
 
+def _repeated_rows(w: Words, key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Rows with the id and words of an earlier one, whose flags are theirs too."""
+    parts = [key, row, *(window_hash(h, w.bounds[:-1], w.bounds[1:], k) for k, h in enumerate(w.h))]
+    order = np.lexsort(parts)
+    out = np.zeros(len(key), bool)
+    out[order[1:]] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in parts])
+    return out
+
+
 def _pack(buf: np.ndarray, offsets: np.ndarray, key: np.ndarray, row: np.ndarray, n: int, m: int, buckets: int, dests: int):
     """Rows for the shuffle: packed strings by bucket, and flags that the chunk settles."""
     w = Words(buf, offsets, hashes=2)
     first = w.windows(n)
+    first = first[~_repeated_rows(w, key, row)[w.doc()[first]]]
     if not len(first):
         return
     h1, h2, docs = w.window_hashes(first, n), w.window_hashes(first, n, 1), w.doc()[first]
-    flagged, again = later(h1, h2, key[docs])
-    if flagged.any():
-        d = docs[flagged]
-        yield from _flags(key[d], row[d], first[flagged] - w.bounds[d], dests, buckets)
+    flagged, again = later(h1, h2, key[docs], docs)
+    if (told := flagged & ~again).any():
+        d = docs[told]
+        yield from _flags(key[d], row[d], first[told] - w.bounds[d], dests, buckets)
     words = np.arange(len(w) - m + 1)
     least = _sliding_min(w.window_hashes(words, m), n - m + 1)[first]
-    sent = np.flatnonzero(~again)
+    sent = np.flatnonzero(~(flagged | again))
     if not len(sent):
         return
     f, least, docs = first[sent], least[sent], docs[sent]
@@ -165,7 +194,7 @@ def _count(it, n: int, dests: int):
                 continue
             h1, h2, doc, row, at = (np.concatenate(x) for x in zip(*got, strict=True))
             del got
-            flagged, _ = later(h1, h2, doc)
+            flagged, _ = later(h1, h2, doc, row)
             if flagged.any():
                 yield from _flags(doc[flagged], row[flagged], at[flagged], dests, 1)
 
@@ -266,9 +295,10 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, m: int = MINIMISER, output:
                 columns = b.column(1).slice(x, y - x).flatten()
                 key, row = ids(columns[key_at]), b.column(2).slice(x, y - x).to_numpy()
                 for i, j, buf, offsets in chunks(*buffers(columns[k])):
-                    w = Words(buf, offsets, hashes=0)
                     which, at = held.of(int(dest[x]), key[i:j], row[i:j])
-                    gone = cover(w.bounds[which] + at, n, len(w))
+                    w = Words(buf, offsets, hashes=2 if len(which) else 0)
+                    first = w.bounds[which] + at
+                    gone = cover(everywhere(w, first, n) if len(first) else first, n, len(w))
                     kept, bounds = joined(w, ~gone)
                     yield from (rewritten if output == "texts" else digested)([z.slice(i, j - i) for z in columns], key[i:j], w, gone, kept.tobytes(), bounds.tolist(), np.bincount(which, minlength=j - i) > 0)
 

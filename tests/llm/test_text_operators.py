@@ -98,6 +98,19 @@ def test_substring_removal_in_parts_and_chunks(spark, monkeypatch):
     assert Counter(tuple(r) for r in substring.remove_repeats(df).collect()) == brute_removal(rows)
 
 
+@pytest.mark.parametrize("together", [1, 4 << 20])
+def test_substring_removal_of_passages_twice_in_a_document(spark, monkeypatch, together):
+    monkeypatch.setattr(substring, "PACKED_TOGETHER", together)
+    passage, own = " ".join(f"p{i}" for i in range(20)), lambda k: " ".join(f"own{k}x{i}" for i in range(15))
+    rows = [(1, f"{own(1)} {passage}"), (7, f"{passage} {own(7)} {passage} {own(70)} {passage}"), (7, f"{own(71)} {passage} {own(72)} {passage}"), (7, f"{own(71)} {passage} {own(72)} {passage}")]
+    rows += [(None, f"{own(80)} {passage} {passage}"), (None, f"{passage} {own(81)} {passage}"), (8, "y " * 60), (9, "y " * 90)]
+    # The smaller ids are in other partitions than the larger.
+    one, two = (spark.sparkContext.parallelize(r, 1) for r in (rows[:1] + rows[6:7], rows[1:6] + rows[7:]))
+    df = spark.createDataFrame(one.union(two), "doc_id long, text string")
+    assert df.rdd.getNumPartitions() == 2
+    assert Counter(tuple(r) for r in substring.remove_repeats(df).collect()) == brute_removal(rows)
+
+
 def test_substring_texts_keep_columns(docs, no_docs):
     out = substring.remove_repeats(docs, output="texts")
     assert out.columns == docs.columns
