@@ -235,6 +235,21 @@ def test_longest_repeats():
                 at += 1
 
 
+def test_default_limits_of_the_method_bind(spark):
+    own = lambda n: " ".join(f"o{i}" for i in range(n))
+    block = lambda n: " ".join(f"r{i}" for i in range(n))
+    halves = [f"b{k}x{i}" for k in range(2) for i in range(10)]
+    rows = [
+        (1, f"{block(20)} {own(80)} {block(20)}"),  # a third covered
+        (2, f"{own(160)} {'x ' * 40}"),  # a fifth covered, by a repeat of 39 words
+        (3, f"{' '.join(halves)} {own(80)} {' '.join(halves[10:] + halves[:10])}"),  # a third covered by short repeats
+        (4, f"{block(15)} {own(90)} {block(15)}"),  # a quarter covered
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.base_failed, r.kept, r.n_covered, r.longest_repeat) for r in quality.quality(df).collect()}
+    assert got == {1: (False, False, 40, 20), 2: (False, False, 40, 39), 3: (False, False, 40, 10), 4: (False, True, 30, 15)}
+
+
 def test_method_rejects_long_repeats(spark):
     block = " ".join(f"r{i}" for i in range(120))
     other = " ".join(f"o{i}" for i in range(300))
