@@ -3,8 +3,8 @@
 Rows with equal texts are a group and stay together. Groups are far too many to
 place one by one, so small ones are first bundled by the hash of their text into
 a fixed number of bundles; a group above a share of a shard is an item of its
-own, of which there can only be a fixed number too, and one that no shard could
-hold beside others is cut into parts. Items are placed largest first, each where
+own, of which there can only be a fixed number too. Only a group of more bytes
+than a shard's equal part of the table is cut, into parts of that share. Items are placed largest first, each where
 the dot product of its size with the shard's residual capacity is highest.
 """
 
@@ -41,32 +41,47 @@ def place(sizes: np.ndarray, shards: int, exact: int = 0) -> np.ndarray:
     return out
 
 
-def shards(docs: DataFrame, n: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, n_tokens; one per input row.
+def _groups(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("_group").agg(F.sum("size").alias("size"))
 
-    size is the text's UTF-8 bytes plus 16, null text has no bytes and the checksum
-    of none; the law is `bytes`: shards' sizes are near equal, and token estimates
-    (words between spaces) and rows are balanced beside it. slot numbers a shard's
-    rows from 0 without gaps. A group of equal texts is one shard's unless its bytes
-    exceed 1/LARGE of a shard, when it is cut by ids into parts of about that
-    size, so that a third of all rows may be copies of one text. Rows with equal ids
-    and texts stay together. An empty table gives an empty result.
-    """
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
+    return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + F.when(text == "", 0).otherwise(1)).cast("long").alias("n_tokens"),
         F.unhex(F.md5(text.cast("binary"))).alias("_group"),
     )
-    rows = staged(rows)
+
+
+def cut_groups(docs: DataFrame, n: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text_md5, size: the groups of equal texts that shards() cuts, as they exceed a shard. Fewer than n, whatever the data."""
+    groups = _groups(_rows(docs, id_col, text_col))
+    total = groups.agg(F.sum("size").alias("_total"))
+    return groups.join(F.broadcast(total), F.col("size") * n > F.col("_total")).select(F.lower(F.hex("_group")).alias("text_md5"), "size")
+
+
+def shards(docs: DataFrame, n: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, n_tokens; one per input row.
+
+    size is the text's UTF-8 bytes plus 16, null text has no bytes and the checksum
+    of none; the law is `bytes`: shards' sizes are near equal, and token estimates
+    (words between spaces) and rows are balanced beside it. slot numbers a shard's
+    rows from 0 without gaps. A group of equal texts is one shard's unless its bytes
+    exceed 1/n of the table's, when it is cut by ids into parts of about 1/LARGE
+    of a shard, so that a third of all rows may be copies of one text; cut_groups()
+    names these groups. Rows with equal ids and texts stay together. Whole groups of
+    nearly a shard can make shards less even. An empty table gives an empty result.
+    """
+    rows = staged(_rows(docs, id_col, text_col))
     total = rows.agg(F.sum("size")).first()[0]
     items, bundles = None, n * BUNDLES
     part_bytes = max(1, (total or 0) // (n * LARGE))
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("size"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
-    # At most n * LARGE groups are large, whatever the data.
-    large = groups.filter(F.col("size") > part_bytes).select("_group", F.ceil(F.col("size") / part_bytes).cast("long").alias("_parts"))
+    # At most n * LARGE groups are large, whatever the data; those that fit a shard are one part.
+    parts = F.when(F.col("size") * n > (total or 0), F.ceil(F.col("size") / part_bytes)).otherwise(1)
+    large = _groups(rows).filter(F.col("size") > part_bytes).select("_group", parts.cast("long").alias("_parts"))
     part = F.pmod(F.xxhash64("doc_id", "_group"), F.col("_parts"))
     named = rows.join(F.broadcast(large), "_group", "left")
     named = named.withColumn("_item", F.when(F.col("_parts").isNull(), F.concat(F.lit("b"), F.pmod(F.xxhash64("_group"), F.lit(bundles)))).otherwise(F.concat(F.hex("_group"), F.lit("/"), part)))

@@ -136,3 +136,22 @@ def test_shards_are_even_and_split_hot_groups(spark):
     for r in sharding.shards(spark.createDataFrame(pairs, "doc_id long, text string"), 8).collect():
         where[r.doc_id // 2].add(r.shard)
     assert all(len(s) == 1 for s in where.values())
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    hot, half, pair = "hot copy " * 20, "copy of half a shard " * 12, "one very long text " * 900
+    source = [(i, hot) for i in range(1500)] + [(10_000 + i, half) for i in range(70)] + [(20_000 + i, pair) for i in range(2)]
+    source += [(30_000 + i, f"text {i} " * (1 + i % 37)) for i in range(2500)]
+    df, n = spark.createDataFrame(source, "doc_id long, text string"), 16
+    rows = sharding.shards(df, n).collect()
+    check_shards(rows, source, n)
+    sizes, where, total = Counter(), defaultdict(set), sum(r.size for r in rows)
+    for r in rows:
+        sizes[r.shard] += r.size
+        where[r.text_crc32].add(r.shard)
+    group = {t: sum(len(x) + 16 for _, x in source if x == t) for t in (hot, half, pair)}
+    assert group[hot] > total / n and all(total / n / 32 < group[t] < total / n for t in (half, pair))
+    crc = {t: zlib.crc32(t.encode()) for t in group}
+    assert len(where[crc[hot]]) > 1 and len(where[crc[half]]) == len(where[crc[pair]]) == 1
+    assert len(sizes) == n and max(sizes.values()) <= 1.02 * min(sizes.values())
+    assert [(r.text_md5, r.size) for r in sharding.cut_groups(df, n).collect()] == [(hashlib.md5(hot.encode()).hexdigest(), group[hot])]
