@@ -5,13 +5,15 @@ linear program over the histogram of lengths (cover every length's count with as
 few configurations as possible) is solved by multiplicative weights: each round
 a knapsack dynamic program prices the best configuration under the weights, and
 covered lengths lose weight. The fractional solution is rounded down and what is
-left is packed best-fit, gaps of the rounded configurations first. All this is on
+left is packed best-fit, gaps of the rounded configurations first. Best fit alone
+is tried beside it, and the fewest sequences win; what each took is logged. All is on
 the histogram, whose size is that of the capacity, not of the data; rows then
 look up their place by their rank among rows of their length.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_left, insort
 
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from .common import batches, ids, longs, staged
 from .tokens import encoded
 
+log = logging.getLogger(__name__)
+
 #: Rounds of multiplicative weights, its step, and classes of lengths in the linear program.
 ROUNDS, STEP, CLASSES = 1500, 0.15, 128
-#: Shares of the fractional solution that rounding tries; the fewest sequences win.
+#: Shares of the fractional solution that rounding tries; the fewest sequences win. 0.0 is best fit alone.
 SCALES = (1.0, 0.97, 0.9, 0.7, 0.0)
 
 
@@ -104,8 +108,12 @@ def _best_fit(groups: dict[int, list], counts: dict[int, int], capacity: int) ->
     return [g for room in groups.values() for g in room]
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple]]:
-    """[(how many sequences, (lengths))] that hold each length as often as the histogram says."""
+def plan(histogram: dict[int, int], capacity: int, tried: dict[float, int] | None = None) -> list[tuple[int, tuple]]:
+    """[(how many sequences, (lengths))] that hold each length as often as the histogram says.
+
+    tried, where given, receives the sequences that each of SCALES takes; the first with the fewest is the plan.
+    """
+    tried = {} if tried is None else tried
     grid = max(1, -(-capacity // CLASSES))
     length_class = {x: -(-x // grid) for x in histogram if x < capacity}
     total = {}
@@ -157,8 +165,12 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple]]:
                 groups.setdefault(capacity - sum(lengths), []).append((times, lengths))
                 many -= times
         done = _best_fit(groups, {x: n for x, n in left.items() if n}, capacity)
+        tried[scale] = sum(m for m, _ in whole + done)
         if best is None or sum(m for m, _ in done) < sum(m for m, _ in best):
             best = done
+    least = -(-sum(x * n for x, n in histogram.items()) // capacity)
+    won = min(tried, key=tried.get)
+    log.log(logging.INFO if won else logging.WARNING, "packing: share %s of the linear program's solution won, of sequences by share %s; at least %d are needed", won, tried, least)
     return whole + best
 
 

@@ -125,3 +125,14 @@ def test_plans_hold_the_histogram(histogram):
     total = sum(x * n for x, n in histogram.items())
     halves = sum(n for x, n in histogram.items() if x > 32)
     assert sum(m for m, _ in plan) <= 1.7 * max(total / 64, halves) + 1
+
+
+def test_plan_says_which_share_won(caplog):
+    rng = np.random.default_rng(2)
+    histogram = {int(x): int(n) for x, n in zip(rng.choice(np.arange(1, 2048), 600, replace=False), rng.integers(1, 60, 600), strict=True)}
+    tried = {}
+    with caplog.at_level("INFO", logger=packing.log.name):
+        plan = packing.plan(histogram, 2048, tried)
+    assert tuple(tried) == packing.SCALES and sum(m for m, _ in plan) == min(tried.values())
+    (said,) = caplog.records
+    assert f"share {min(tried, key=tried.get)} " in said.message and (said.levelname == "WARNING") == (min(tried, key=tried.get) == 0.0)
