@@ -30,11 +30,11 @@ class Index:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             w = Words(raw, np.array([0, len(raw)]), ALNUM, lower=True)
             size = min(n, len(w))
-            if not size or item is None:
+            if not size:
                 continue
             first = w.windows(size)
             for i, h in zip(first.tolist(), w.window_hashes(first, size).tolist(), strict=True):
-                found.setdefault((size, h), {}).setdefault(_words(w, i, size), set()).add(item)
+                found.setdefault((size, h), {}).setdefault(_words(w, i, size), set()).update(() if item is None else (item,))
         self.lengths = sorted({size for size, _ in found})
         self.hashes = {size: np.array(sorted(h for s, h in found if s == size), np.uint64) for size in self.lengths}
         self.found = found
@@ -52,7 +52,7 @@ class Index:
             some = np.flatnonzero(known[pos] == h)
             for i, x in zip(at[some].tolist(), h[some].tolist(), strict=True):
                 got = self.found[size, x].get(_words(w, i, size))
-                if got:
+                if got is not None:
                     items[docs[i]] |= got
                     first.append(i)
                     length.append(size)
@@ -79,8 +79,8 @@ def indexes(benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTE
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items; one per input row.
 
-    Null or empty text has no words; null items and items without words have no
-    windows; ids may be null or repeated. Only the named columns are read. With a
+    Null or empty text has no words; items without words have no windows; an
+    item without id hits as any other, but isn't among the items; ids may be null or repeated. Only the named columns are read. With a
     benchmark of one block (the usual case) nothing is shuffled.
     """
     handles = indexes(benchmark, n, block_bytes)

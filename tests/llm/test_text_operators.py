@@ -184,6 +184,15 @@ def test_contamination_without_benchmark(spark, docs):
     assert decontaminate.contamination(docs, none).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_items_without_id_hit(spark, block):
+    bench = spark.createDataFrame([(None, "secret words here"), (5, "other words there")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "some Secret, words: HERE stay"), (2, "nothing of it"), (3, "other words there and secret words here")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated, r["items"]) for r in decontaminate.contamination(df, bench, block_bytes=block).collect()}
+    assert got == {1: (3, 0, True, []), 2: (0, 0, False, []), 3: (6, 1, True, [5])}
+    assert [r.doc_id for r in decontaminate.decontaminate(df, bench, block_bytes=block).collect()] == [2]
+
+
 def test_span_removal(spark):
     bench = spark.createDataFrame([(1, "secret words here")], "item_id long, text string")
     df = spark.createDataFrame([(1, "some Secret, words: HERE stay"), (2, None)], "doc_id long, text string")
