@@ -397,8 +397,8 @@ _MENTIONS = r"""
         SELECT id, project, created_at, name, 'error' AS kind FROM sig WHERE name IS NOT NULL
         UNION SELECT id, project, created_at, json_extract_string(meta, '$.file_path'), 'file' FROM mem_events WHERE kind = 'tool_output'
         UNION SELECT id, project, created_at, tag, CASE WHEN contains(tag, '/') THEN 'file' WHEN regexp_matches(lower(tag), 'error|panic|failed|erro') THEN 'error' ELSE 'concept' END FROM structural WHERE NOT code),
-    ents AS MATERIALIZED (SELECT project, kind, name, concat_ws(chr(31), project, kind, name) AS key, round(least(10.0, 1.0 + 0.1 * (count(*) - 1)), 6) AS weight, arg_max(created_at, id) AS updated_at, min(id) AS first_id FROM mentions GROUP BY project, kind, name),
-    edgs AS MATERIALIZED (SELECT a, b, round(least(10.0, 1.0 + 0.1 * (count(*) - 1)), 6) AS weight FROM (SELECT x.id, concat_ws(chr(31), x.project, x.kind, x.name) AS a, concat_ws(chr(31), y.project, y.kind, y.name) AS b FROM mentions x JOIN mentions y ON x.id = y.id) WHERE a < b GROUP BY a, b)"""
+    ents AS MATERIALIZED (SELECT project, kind, name, concat_ws(chr(31), project, kind, name) AS key, CAST(round(least(10.0, 1.0 + 0.1 * (count(*) - 1)), 6) AS DOUBLE) AS weight, arg_max(created_at, id) AS updated_at, min(id) AS first_id FROM mentions GROUP BY project, kind, name),
+    edgs AS MATERIALIZED (SELECT a, b, CAST(round(least(10.0, 1.0 + 0.1 * (count(*) - 1)), 6) AS DOUBLE) AS weight FROM (SELECT x.id, concat_ws(chr(31), x.project, x.kind, x.name) AS a, concat_ws(chr(31), y.project, y.kind, y.name) AS b FROM mentions x JOIN mentions y ON x.id = y.id) WHERE a < b GROUP BY a, b)"""
 
 
 def on_graph(body: str) -> str:
@@ -475,7 +475,7 @@ def _(spark, d):
 
 
 @query("g11_bump", on_graph("""
-    , b AS (SELECT 'm' AS x) SELECT name, kind, project, greatest(0.0, least(10.0, round(greatest(0.0, least(10.0, weight + 3.5)), 6) - 1.25)) AS weight FROM ents"""))
+    , b AS (SELECT 'm' AS x) SELECT name, kind, project, CAST(round(greatest(0.0, least(10.0, round(greatest(0.0, least(10.0, weight + 3.5)), 6) - 1.25)), 6) AS DOUBLE) AS weight FROM ents"""))
 def _(spark, d):
     e, _r = _graph(spark, d)
     names = e.select("name").distinct()
