@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 NULL_ID = np.iinfo(np.int64).max
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a local folder is set.
+    Where that setting is absent a session on one machine (tests) gets a temporary
+    folder; on a cluster nothing runs without it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="memlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share before the session starts")
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="memlake-")
+        base = _local[app]
     return f"{base.rstrip('/')}/memlake-{uuid.uuid4().hex}"
 
 
@@ -37,6 +45,12 @@ def staged(df: DataFrame, parts: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_rows(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) for columns of any names, which f finds in its record batches."""
+    names = df.columns
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(lambda it: f(b.rename_columns(names) for b in it), schema)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size of what df reads: of file scans, the size of the files; sources of unknown size count as nothing."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -2,22 +2,26 @@
 
 The benchmark's windows are hashed and sorted into an index that every task
 holds; documents are scanned once, hits are verified word by word, and the words
-of hit windows, or the documents, can be removed.
+of hit windows, or the documents, can be removed. A benchmark of more than one
+block is scanned for block by block, one of which is held at a time; hits of all
+blocks are gathered on the input before anything is removed, so the size of a
+block changes no result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, ids, longs, staged
+from .common import batches, ids, longs, map_rows, staged
 from .words import ALNUM, Words, buffers, chunks, cover
 
-#: Words of a window, and the most bytes of benchmark text in one broadcast index; more text takes more scans.
+#: Words of a window, and the most bytes of benchmark text in one broadcast index; more text takes more scans, one after the other.
 WINDOW, BLOCK_BYTES = 10, 8 << 20
 
 
@@ -63,54 +67,70 @@ def _words(w: Words, i: int, n: int) -> bytes:
     return b" ".join(w.text[a:b].tobytes() for a, b in zip(w.starts[i : i + n].tolist(), w.ends[i : i + n].tolist(), strict=True))
 
 
-def indexes(benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
-    """Broadcast indexes of blocks of items, each of about block_bytes of text at most.
+def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[int, Callable[[int], list[tuple[int, str]]]]:
+    """How many blocks of about block_bytes of text the benchmark has, and the items of the k-th.
 
     A document is scanned against every block, so the whole benchmark takes part whatever its size.
     """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    of = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-    sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(Index([tuple(r) for r in rows.filter(of == k).collect()], n)) for k in range(blocks)]
+    if blocks > 1:
+        rows = staged(rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).repartition("block"))
+        return blocks, lambda k: [tuple(r) for r in rows.filter(F.col("block") == k).select("item_id", "text").collect()]
+    return 1, lambda k: [tuple(r) for r in rows.collect()]
+
+
+_SCANNED = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.int64()))])
+_SCANNED_COLUMNS = "key long, n_words long, hits binary, items array<long>"
+
+
+def _scan(rows: DataFrame, handle) -> DataFrame:
+    """key, n_words, hits (numbers of the hit words), items; rows has a key and a text."""
+
+    def scan(it):
+        for b in it:
+            key = ids(b.column(0))
+            for i, j, buf, offsets in chunks(*buffers(b.column(1))):
+                w, hit, items = handle.value.scan(buf, offsets)
+                at = [np.flatnonzero(hit[x:y]).astype("<i4").tobytes() for x, y in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)]
+                yield from batches([longs(key[i:j]), w.counts.astype(np.int64), pa.array(at, pa.binary()), pa.array([sorted(s) for s in items], pa.list_(pa.int64()))], _SCANNED)
+
+    return rows.mapInArrow(scan, _SCANNED_COLUMNS)
+
+
+def _scan_all(numbered: DataFrame, blocks: int, items: Callable, n: int) -> DataFrame:
+    """What _scan() finds in all blocks together, for rows with distinct keys. Each block's index is dropped before the next is made."""
+    found = None
+    for k in range(blocks):
+        handle = numbered.sparkSession.sparkContext.broadcast(Index(items(k), n))
+        part = _scan(numbered, handle)
+        part = staged(part if k == 0 else part.filter(F.octet_length("hits") > 0))
+        handle.destroy()
+        found = part if found is None else found.unionByName(part)
+    # At most one row a block and document.
+    return found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items; one per input row.
 
     Null or empty text has no words; items without words have no windows; an
-    item without id hits as any other, but isn't among the items; ids may be null or repeated. Only the named columns are read. With a
+    item without id hits as any other, but isn't among the items; ids may be null
+    or repeated, of documents and of items, and equal rows get equal results; an
+    empty table gives an empty result. Only the named columns are read. With a
     benchmark of one block (the usual case) nothing is shuffled.
     """
-    handles = indexes(benchmark, n, block_bytes)
+    blocks, items = blocks_of(benchmark, block_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.int64()))])
-
-    def scanner(handle):
-        def scan(it):
-            for b in it:
-                key = ids(b.column(0))
-                for i, j, buf, offsets in chunks(*buffers(b.column(1))):
-                    w, hit, items = handle.value.scan(buf, offsets)
-                    at = [np.flatnonzero(hit[x:y]).astype("<i4").tobytes() for x, y in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)]
-                    yield from batches([longs(key[i:j]), w.counts.astype(np.int64), pa.array(at, pa.binary()), pa.array([sorted(s) for s in items], pa.list_(pa.int64()))], schema)
-
-        return scan
-
-    plain = "doc_id long, n_words long, hits binary, items array<long>"
-    if len(handles) == 1:
-        found = rows.mapInArrow(scanner(handles[0]), plain).select("doc_id", "n_words", F.array("hits").alias("hits"), "items")
+    if blocks == 1:
+        handle = docs.sparkSession.sparkContext.broadcast(Index(items(0), n))
+        found = _scan(rows, handle).select(F.col("key").alias("doc_id"), "n_words", F.array("hits").alias("hits"), "items")
     else:
         # A number for each row, the same in every scan, as the table is staged.
-        numbered = staged(rows.withColumn("_row", F.monotonically_increasing_id()))
-        ids_of = numbered.select("_row", "doc_id")
-        parts = [numbered.select("_row", "text").mapInArrow(scanner(h), plain) for h in handles]
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p.filter(F.octet_length("hits") > 0))
-        merged = union.groupBy(F.col("doc_id").alias("_row")).agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        found = merged.join(ids_of, "_row").select("doc_id", "n_words", "hits", "items")
+        numbered = staged(rows.withColumn("key", F.monotonically_increasing_id()))
+        merged = _scan_all(numbered.select("key", "text"), blocks, items, n)
+        found = merged.join(numbered.select("key", "doc_id"), "key").select("doc_id", "n_words", "hits", "items")
 
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.int64()))])
 
@@ -124,38 +144,69 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_
     return found.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>")
 
 
+def _without(w: Words, d: int, hit: np.ndarray) -> str:
+    """The text of document d without its hit words."""
+    at = w.offsets[d]
+    raw = np.ones(w.offsets[d + 1] - at, bool)
+    for x in np.flatnonzero(hit[w.bounds[d] : w.bounds[d + 1]]) + w.bounds[d]:
+        raw[w.starts[x] - at : w.ends[x] - at] = False
+    return w.buf[at : w.offsets[d + 1]][raw].tobytes().decode("utf-8", "replace")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove: str = "documents", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without those that are hit (remove="documents"), or without their hit words ("spans").
 
-    All columns stay. With "spans" a text that is hit becomes its other words'
-    raw characters, and later blocks of a large benchmark judge what earlier ones left.
+    All columns stay, whatever their names. With "spans" a text that is hit
+    becomes its other words' raw characters. Windows are judged on the input
+    against the whole benchmark, then all hits are removed at once. Null and empty
+    texts hit nothing and stay as they are; null and repeated ids, repeated rows
+    and items without id are as in contamination(); empty tables give empty results
+    or, as the benchmark, remove nothing.
     """
-    schema, names = docs.schema, docs.columns
-    for handle in indexes(benchmark, n, block_bytes):
-
-        def clean(it, handle=handle):
+    blocks, items = blocks_of(benchmark, block_bytes)
+    spans, schema = remove == "spans", docs.schema
+
+    def cleaned(b, k, hits_of):
+        """The record batch b with text column k, cleaned by what hits_of(first row, end row, bytes, offsets) finds."""
+        keep, texts = [], []
+        for i, j, buf, offsets in chunks(*buffers(b.column(k))):
+            w, hit = hits_of(i, j, buf, offsets)
+            hits = np.diff(np.concatenate(([0], np.cumsum(hit)))[w.bounds])
+            keep.append(hits == 0)
+            if spans:
+                own = b.column(k).slice(i, j - i).to_pylist()
+                for d in np.flatnonzero(hits):
+                    own[d] = _without(w, d, hit)
+                texts += own
+        if keep and spans:
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(texts, b.column(k).type), *b.columns[k + 1 :]], names=b.schema.names)
+        elif keep:
+            yield b.filter(pa.array(np.concatenate(keep)))
+
+    if blocks == 1:
+        handle = docs.sparkSession.sparkContext.broadcast(Index(items(0), n))
+
+        def clean(it):
             for b in it:
-                k = b.schema.get_field_index("text")
-                keep, texts = [], []
-                for i, j, buf, offsets in chunks(*buffers(b.column(k))):
-                    w, hit, _ = handle.value.scan(buf, offsets)
-                    hits = np.add.reduceat(np.append(hit, False), w.bounds[:-1]) * (w.counts > 0) if len(w) else np.zeros(j - i, int)
-                    keep.append(hits == 0)
-                    if remove == "spans":
-                        own = b.column(k).slice(i, j - i).to_pylist()
-                        for d in np.flatnonzero(hits):
-                            raw = np.ones(offsets[d + 1] - offsets[d], bool)
-                            for x in range(w.bounds[d], w.bounds[d + 1]):
-                                if hit[x]:
-                                    raw[w.starts[x] - offsets[d] : w.ends[x] - offsets[d]] = False
-                            own[d] = buf[offsets[d] : offsets[d + 1]][raw].tobytes().decode("utf-8", "replace")
-                        texts += own
-                if not keep:
-                    continue
-                if remove == "spans":
-                    yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(texts, b.column(k).type), *b.columns[k + 1 :]], names=b.schema.names)
-                else:
-                    yield b.filter(pa.array(np.concatenate(keep)))
-
-        docs = docs.mapInArrow(clean, schema).select(*names)
-    return docs
+                yield from cleaned(b, b.schema.get_field_index("text"), lambda i, j, buf, offsets: handle.value.scan(buf, offsets)[:2])
+
+        return map_rows(docs, clean, schema)
+
+    numbered = staged(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("key")))
+    hits = _scan_all(numbered.select("key", F.col("doc")["text"].alias("text")), blocks, items, n).filter(F.exists("hits", lambda h: F.octet_length(h) > 0)).select("key", "hits")
+
+    def cut(it):
+        for b in it:
+            doc, found = pa.RecordBatch.from_struct_array(b.column(0)), b.column(1).to_pylist()
+
+            def hits_of(i, j, buf, offsets, found=found):
+                w = Words(buf, offsets, ALNUM, lower=True)
+                hit = np.zeros(len(w), bool)
+                for d, h in enumerate(found[i:j]):
+                    for x in h or ():
+                        hit[w.bounds[d] + np.frombuffer(x, "<i4")] = True
+                return w, hit
+
+            yield from cleaned(doc, doc.schema.get_field_index("text"), hits_of)
+
+    return numbered.join(hits, "key", "left").select("doc", "hits").mapInArrow(cut, schema)

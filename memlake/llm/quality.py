@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import batches, ids, longs
+from .common import batches, ids, longs, map_rows
 from .words import Words, buffers, chunks, cover, span_hash
 
 #: The characters that count as symbols (fixed values).
@@ -164,5 +165,17 @@ def quality(docs: DataFrame, limits: Limits = Limits(), with_columns: bool = Fal
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(kept) if kept else np.zeros(0, bool))], names=[*b.schema.names, "_kept"])
 
     if with_columns:
-        return docs.mapInArrow(mark, docs.schema.simpleString()[7:-1] + ",_kept:boolean")
+        return map_rows(docs, mark, StructType([*docs.schema.fields, StructField("_kept", BooleanType())]))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, "doc_id long, " + ", ".join(f"{n} {'boolean' if kinds[n] == pa.bool_() else 'long'}" for n in names))
+
+
+def kept_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The input's rows, all columns as they are, of the documents that quality() keeps; columns may have any names."""
+
+    def keep(it):
+        for b in it:
+            kept = [measures(buf, offsets, limits)["kept"] for _, _, buf, offsets in chunks(*buffers(b.column(b.schema.get_field_index("text"))))]
+            if kept:
+                yield b.filter(pa.array(np.concatenate(kept)))
+
+    return map_rows(docs, keep, docs.schema)

@@ -193,11 +193,76 @@ def test_items_without_id_hit(spark, block):
     assert [r.doc_id for r in decontaminate.decontaminate(df, bench, block_bytes=block).collect()] == [2]
 
 
-def test_span_removal(spark):
-    bench = spark.createDataFrame([(1, "secret words here")], "item_id long, text string")
-    df = spark.createDataFrame([(1, "some Secret, words: HERE stay"), (2, None)], "doc_id long, text string")
-    out = {r.doc_id: r.text for r in decontaminate.decontaminate(df, bench, remove="spans").collect()}
-    assert out == {1: "some , :  stay", 2: None}
+def brute_spans(text, items, n=10):
+    """The text without its hit words; windows are judged on the input."""
+    if text is None:
+        return None
+    windows = set()
+    for t in items:
+        w = ALNUM.findall(ascii_lower(t))
+        size = min(n, len(w))
+        windows |= {tuple(w[i : i + size]) for i in range(len(w) - size + 1 if size else 0)}
+    found = list(ALNUM.finditer(ascii_lower(text)))
+    hit = {k for size in {len(x) for x in windows} for i in range(len(found) - size + 1) if tuple(m.group() for m in found[i : i + size]) in windows for k in range(i, i + size)}
+    gone = {c for k in hit for c in range(*found[k].span())}
+    return "".join(c for i, c in enumerate(text) if i not in gone)
+
+
+SPAN_ITEMS = [(1, "b c"), (2, "c d"), (None, "a d"), (3, "secret words here"), (4, None), (5, " ".join(f"w{i}" for i in range(14))), (1, "é ß")]
+SPAN_TEXTS = [(1, "a b c d x"), (2, None), (3, ""), (4, "some Secret, words: HERE stay"), (None, "A d and a; D"), (5, "pre " + " ".join(f"w{i}" for i in range(3, 14)) + " w99"), (5, "x É, é ß b-c"), (6, "nothing")]
+
+
+@pytest.mark.parametrize("block", [8 << 20, 1 << 10, 20])
+def test_removal_does_not_depend_on_the_size_of_a_block(spark, block):
+    bench = spark.createDataFrame(SPAN_ITEMS, "item_id long, text string")
+    rows = [(d, t, i, "k") for i, (d, t) in enumerate(SPAN_TEXTS)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, key string").repartition(2)
+    items = [t for _, t in SPAN_ITEMS if t]
+    spans = decontaminate.decontaminate(df, bench, remove="spans", block_bytes=block)
+    assert spans.columns == df.columns
+    assert Counter(tuple(r) for r in spans.collect()) == Counter((d, brute_spans(t, items), i, k) for d, t, i, k in rows)
+    whole = decontaminate.decontaminate(df, bench, block_bytes=block)
+    assert Counter(tuple(r) for r in whole.collect()) == Counter(r for r in rows if brute_spans(r[1], items) == r[1])
+
+
+def brute_verdict(t, limits=quality.Limits()):
+    """(covered words, longest repeat, kept), by comparing all suffixes."""
+    w = SPACED.findall(t or "")
+    n, longest, covered = len(w), 0, set()
+    for i in range(n):
+        best = 0
+        for j in range(n):
+            k = 0
+            while i != j and max(i, j) + k < n and w[i + k] == w[j + k]:
+                k += 1
+            best = max(best, k)
+        longest = max(longest, best)
+        if best >= limits.min_repeat:
+            covered |= set(range(i, i + best))
+    kept = not brute_quality(t)[5] and 100 * len(covered) <= limits.max_covered_percent * n and longest <= limits.max_longest and 100 * longest <= limits.max_longest_percent * n
+    return len(covered), longest, kept
+
+
+def test_verdicts(spark):
+    rng, rows = np.random.default_rng(5), [(d, t) for d, t in ROWS if len(t or "") < 2000]
+    for i in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(20, 160)))]
+        for _ in range(int(rng.integers(0, 4))):
+            a, size = int(rng.integers(0, len(w))), int(rng.integers(3, 40))
+            at = int(rng.integers(0, len(w)))
+            w[at:at] = w[a : a + size]
+        rows.append((100 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_covered, r.longest_repeat, r.kept) for r in quality.quality(df).collect())
+    assert got == Counter((d, *brute_verdict(t)) for d, t in rows)
+    # The verdict isn't that of the base rule.
+    assert 5 < sum(r.kept for r in quality.quality(df).collect()) < quality.quality(df).filter("NOT base_failed").count()
+
+
+def test_quality_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, " ".join(f"o{i}" for i in range(60)), 5, 6, 7), (2, "short", 5, 6, 7)], "doc_id long, text string, `my col` int, _kept int, `a.b` int")
+    assert [tuple(r) for r in quality.kept_documents(df).collect()] == [(1, " ".join(f"o{i}" for i in range(60)), 5, 6, 7)]
+    assert quality.quality(df, with_columns=True).columns == [*df.columns, "_kept"]
 
 
 def brute_quality(t):
