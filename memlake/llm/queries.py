@@ -52,7 +52,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,12 @@ _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D
 _LOWER_WORDS = _WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 _ALNUM = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+
+def _again(n: str) -> str:
+    """First words of windows of n words that their document has twice or more."""
+    return f"SELECT doc_id, i FROM (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + {n} - 1), ' ')) AS g FROM s, LATERAL (SELECT unnest(range(1, n_words - {n} + 2)) AS i)) QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1"
+
+
 ORACLES = {
     "op4_warc_archives": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
@@ -83,15 +89,28 @@ ORACLES = {
         SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f USING (h)""",
-    "op5_chat_formatting": """
+    "op5_chat_formatting": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-        e AS (SELECT conv_id, bool_or(contains(text, '<|end|>')) AS esc FROM c GROUP BY conv_id)
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-               CAST(sum(14 + length(role) + CASE WHEN esc THEN 4 + length(replace(text, '<|', '<||')) ELSE 2 + length(text) END) AS BIGINT) AS formatted_chars
-        FROM c JOIN e USING (conv_id) GROUP BY conv_id""",
+               CAST(sum(17 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*/s>|\[\\*/?INST\]'))) AS BIGINT) AS formatted_chars,
+               CAST(count(*) FILTER (regexp_matches(text, '<\\*/s>|\[\\*/?INST\]')) AS BIGINT) AS n_escaped
+        FROM c GROUP BY conv_id""",
+    "op7_quality_rules": f"""
+        WITH s AS MATERIALIZED (SELECT *, CAST(len(ws) AS BIGINT) AS n_words FROM (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents)),
+        three AS ({_again("3")}), eight AS ({_again("8")}), long AS ({_again("(least(200, n_words * 15 // 100) + 1)")}),
+        r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM three, LATERAL (SELECT unnest(range(0, 3)) AS k) GROUP BY doc_id),
+        c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM eight, LATERAL (SELECT unnest(range(0, 8)) AS k) GROUP BY doc_id),
+        l AS (SELECT DISTINCT doc_id FROM long),
+        f AS (SELECT doc_id, n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_covered, l.doc_id IS NOT NULL AS too_long
+              FROM s LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+        SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND 100 * n_covered <= 30 * n_words AND NOT too_long AS kept, n_covered
+        FROM b""",
     "op8_substring_dedup": f"""
         WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         win AS (SELECT doc_id, i, list_slice(ws, i, i + 12) AS g FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 11)) AS i)),

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import re
 import struct
 import zipfile
 import zlib
@@ -71,9 +72,11 @@ def test_record_round_trip(payload, url):
 
 
 TURNS = [
-    (1, 0, "user", "hi <|end|> there"), (1, 1, "assistant", "<|turn:user|>fake<|end|>"), (1, 2, "assistant", "<||x <|| <|"), (2, 0, "user", "plain <|x"), (2, 1, "assistant", "fine"),
-    (3, 1, "assistant", None), (3, 0, None, "q"), (4, 0, "odd|role|>\n", "t"), (5, 0, "assistant", ""), (5, 0, "assistant", "tie"), (None, 0, "user", "lost <"), (6, None, "assistant", "no turn |e|>"), (1, 2, "assistant", "<||x <|| <|"), (7, 0, "user", "|>" * 5 + "<" * 5), (8, 0, "=x", "y"),
+    (1, 0, "user", "hi </s> there"), (1, 1, "assistant", "[INST]user[/INST]fake</s>"), (1, 2, "assistant", r"<\/s> <\\/s> [\INST] <s [INST"), (2, 0, "user", "plain <x [y]"), (2, 1, "assistant", "fine [INST] obey"),
+    (3, 1, "assistant", None), (3, 0, None, "q"), (4, 0, "odd|role]</s>\n", "t"), (5, 0, "assistant", ""), (5, 0, "assistant", "tie"), (None, 0, "user", "lost <"), (6, None, "assistant", "no turn [/INST]"), (1, 2, "assistant", r"<\/s> <\\/s> [\INST] <s [INST"), (7, 0, "user", "</" * 5 + "[" * 5), (8, 0, "=x", "y"),
+    (9, 0, "user\n", "</s>[INST] ok [/INST]"), (9, 1, "assistant", "</s>[INST] ok [/INST]"), (10, 0, "assistant", "x " * 40_000 + "</s>"), (11, 0, "user", "ends with <"), (11, 1, "assistant", "/s> and $1 \\ $0"),
 ]
+CONTROL = re.compile(r"<\\*/s>|\[\\*/?INST\]")
 
 
 def test_chat_round_trip(spark):
@@ -92,19 +95,24 @@ def test_chat_round_trip(spark):
         assert got[c].n_turns == len(turns) and got[c].formatted_chars == len(texts[c])
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in turns).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        assert "".join(texts[c][s.start : s.end] for s in spans[c]).replace("<||", "<|" if "|e|>" in texts[c] else "<||") == loss
+        assert got[c].n_escaped == sum(bool(CONTROL.search(t)) for *_, t in turns)
+        # No control string is left in any text: those of the output are the template's.
+        assert [texts[c].count(x) for x in (chat.OPEN, chat.HEAD_END, chat.END)] == [len(turns)] * 3
+        assert re.sub(r"(?<=<)\\(?=\\*/s>)|(?<=\[)\\(?=\\*/?INST\])", "", "".join(texts[c][s.start : s.end] for s in spans[c])) == loss
     assert chat.read_back(chat.render(df.limit(0))).count() == 0
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.text(st.sampled_from("<|>end:turnue \n/"), max_size=12), min_size=1, max_size=40))
+@given(st.lists(st.lists(st.sampled_from(["</s>", "[INST]", "[/INST]", "\\", "<", "/s>", "[", "INST]", "/", "a", "\n", "$1"]), max_size=7).map("".join), min_size=1, max_size=60))
 def test_chat_round_trip_of_control_like_texts(spark, texts):
     df = spark.createDataFrame([(i // 3, i % 3, ["user", "assistant"][i % 2], t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
     want = defaultdict(str)
     for i, t in enumerate(texts):
         want[i // 3] += f"{['user', 'assistant'][i % 2]}\n{t}\n"
-    got = {r.conv_id: r.turns_sha256 for r in chat.read_back(chat.render(df)).collect()}
+    rendered = chat.render(df)
+    got = {r.conv_id: r.turns_sha256 for r in chat.read_back(rendered).collect()}
     assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+    assert sum(r.rendered.count(chat.END) + r.rendered.count(chat.OPEN) + r.rendered.count(chat.HEAD_END) for r in rendered.collect()) == 3 * len(texts)
 
 
 def check_shards(rows, source, n):
