@@ -20,7 +20,7 @@ from memlake.session import ship
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ship(spark)
-    return quality.quality(docs, with_columns=True).filter("_kept").select(*docs.columns)
+    return quality.kept_documents(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
