@@ -3,73 +3,162 @@
 A configuration is a multiset of lengths that fits a sequence. The configuration
 linear program over the histogram of lengths (cover every length's count with as
 few configurations as possible) is solved by multiplicative weights: each round
-a knapsack dynamic program prices the best configuration under the weights, and
-covered lengths lose weight. The fractional solution is rounded down and what is
-left is packed best-fit, gaps of the rounded configurations first. Best fit alone
-is tried beside it, and the fewest sequences win; what each took is logged. All is on
-the histogram, whose size is that of the capacity, not of the data; rows then
-look up their place by their rank among rows of their length.
+a knapsack dynamic program over exact lengths prices configurations under the
+weights, near-best ones are used, and groups of lengths that are covered lose
+weight. The fractional solution is rounded: configurations are made as often as it
+says from the lengths there are. What no configuration took, and lengths under a
+sixteenth of a sequence, go best-fit into the gaps. The averaged weights are a
+solution of the dual program, whose value bounds the sequences from below. All
+is on the histogram, whose size is that of the capacity, not of the data; rows
+then look up their place by their rank among rows of their length.
 """
 
 from __future__ import annotations
 
 import logging
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import batches, ids, longs, staged
 from .tokens import encoded
 
 log = logging.getLogger(__name__)
 
-#: Rounds of multiplicative weights, its step, and classes of lengths in the linear program.
-ROUNDS, STEP, CLASSES = 1500, 0.15, 128
-#: Shares of the fractional solution that rounding tries; the fewest sequences win. 0.0 is best fit alone.
-SCALES = (1.0, 0.97, 0.9, 0.7, 0.0)
+#: Rounds of multiplicative weights if none is cut short, its step, and the most that a round may add to a group's cover.
+ROUNDS, STEP, RISE = 80, 40.0, 0.4
+#: Groups of lengths that have a weight each; a share of lengths has its own configuration priced in a round; a configuration's least share of the best price.
+GROUPS, TURNS, NEAR = 256, 4, 0.98
+#: Lengths up to this share of the capacity are left to best fit, unless they are most of the tokens.
+SMALL = 1 / 16
+#: Shares of the fractional solution that rounding makes; the fewest sequences win.
+SHARES = (1.0, 0.95, 0.85)
 
 
-def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each item in a most valuable multiset of total size up to capacity."""
-    best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    smallest = int(sizes.min())
-    for c in range(smallest, capacity + 1):
-        k = int(np.searchsorted(sizes, c, "right"))
-        v = best[c - sizes[:k]] + values[:k]
-        j = int(v.argmax())
+def knapsack(values: np.ndarray, least: int, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Most value of each size up to capacity, and the last length taken for it (0: as one less).
+
+    values has a length's value at its index, -inf where there is none; least is the smallest length.
+    """
+    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    v, own = np.empty(capacity + 1), values[least:]
+    for c in range(least, capacity + 1):
+        k = c - least
+        np.add(best[k::-1], own[: k + 1], out=v[: k + 1])
+        j = int(v[: k + 1].argmax())
         if v[j] > best[c - 1]:
-            best[c], taken[c] = v[j], j
+            best[c], last[c] = v[j], least + j
         else:
             best[c] = best[c - 1]
-    copies, c = np.zeros(len(sizes), np.int64), capacity
-    while c >= smallest:
-        if taken[c] < 0:
-            c -= 1
-        else:
-            copies[taken[c]] += 1
-            c -= int(sizes[taken[c]])
-    return copies
-
-
-def fractional(counts: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[bytes, float]:
-    """Configurations (copies of each size, as bytes) and how many of each, covering counts."""
-    guess = max(1.0, float((counts * sizes).sum()) / capacity)
-    covered, used = np.zeros(len(sizes)), {}
-    logw = np.zeros(len(sizes))
-    for _ in range(ROUNDS):
-        w = np.exp(logw - logw.max()) / counts
-        a = knapsack(w * 1e6, sizes, capacity)
-        step = min(guess / ROUNDS * 4, float((counts[a > 0] / a[a > 0]).min()))
-        used[a.tobytes()] = used.get(a.tobytes(), 0.0) + step
-        covered += a * step / counts
-        logw = -STEP * covered * np.log(len(sizes) + 1) / 0.02
-        if covered.min() >= 1:
+    return best, last
+
+
+def taken(last: np.ndarray, c: int) -> list[int]:
+    """The lengths of knapsack()'s choice for size c."""
+    out = []
+    while c > 0:
+        if last[c]:
+            out.append(int(last[c]))
+        c -= int(last[c]) or 1
+    return out
+
+
+@dataclass
+class Solution:
+    """Configurations (lengths, longest first) and how many of each; the group of each length; a lower bound of all that cover the histogram."""
+
+    used: dict[tuple, float]
+    group: dict[int, int]
+    bound: float
+
+
+def fractional(histogram: dict[int, int], capacity: int) -> Solution:
+    """The configuration linear program of the histogram, by multiplicative weights."""
+    sizes = np.array(sorted(histogram))
+    n = np.array([histogram[x] for x in sizes.tolist()], float)
+    middle = np.cumsum(n) - n / 2
+    group = np.unique((middle * GROUPS / n.sum()).astype(int) if len(sizes) > GROUPS else np.arange(len(sizes)), return_inverse=True)[1]
+    need, of = np.bincount(group, n), dict(zip(sizes.tolist(), group.tolist(), strict=True))
+    volume, least = float((n * sizes).sum()) / capacity, int(sizes[0])
+    cover, dual, done, used = np.zeros(len(need)), np.zeros(len(sizes)), 0.0, {}
+    noise = np.random.default_rng(0)
+    for turn in range(8 * ROUNDS):
+        w = np.exp(np.clip(-STEP * (cover - done), -40, 3))[group]
+        values = np.full(capacity + 1, -np.inf)
+        values[sizes] = sizes * w * (1 + 0.02 * noise.random(len(sizes)))
+        best, last = knapsack(values, least, capacity)
+        dual += sizes * w / best[capacity]
+        # The best configuration that has a length, for some of the lengths in turn.
+        some = np.arange(turn % TURNS, len(sizes), TURNS) if len(sizes) > 4 * TURNS else np.arange(len(sizes))
+        price = values[sizes[some]] + best[capacity - sizes[some]]
+        near = some[price >= NEAR * best[capacity]]
+        near = near if len(near) else some[np.argsort(-price)[:8]]
+        made = [tuple(sorted([x, *taken(last, capacity - x)], reverse=True)) for x in sizes[near].tolist()]
+        amount, rise, full = n[near] * w[near], np.zeros(len(need)), 0.0
+        for x, lengths in zip(amount.tolist(), made, strict=True):
+            full += x * sum(lengths) / capacity
+            for y in lengths:
+                rise[of[y]] += x
+        rise /= need
+        step = min(volume / full / ROUNDS, RISE / rise.max(), (1 - done) * volume / full)
+        for x, lengths in zip(amount.tolist(), made, strict=True):
+            used[lengths] = used.get(lengths, 0.0) + x * step
+        cover += rise * step
+        done += step * full / volume
+        if done >= 1 - 1e-9:
             break
-    return used
+    values = np.full(capacity + 1, -np.inf)
+    values[sizes] = dual
+    return Solution(used, of, max(volume, float((n * dual).sum()) / knapsack(values, least, capacity)[0][capacity]))
+
+
+def rounded(solution: Solution, histogram: dict[int, int], capacity: int, share: float) -> tuple[dict[int, list], dict[int, int]]:
+    """Free space -> [(how many sequences, (lengths))] of the configurations made, and the lengths left.
+
+    Configurations are made as often as the running sum of the solution passes whole
+    numbers. Where a length has run out, the longest of its group that still fits
+    takes its place, or none does; a configuration's last length is the longest of
+    all that still fits.
+    """
+    left, stock, groups, total = dict(histogram), {}, {}, 0.0
+    every = sorted(histogram)
+    for x in every:
+        stock.setdefault(solution.group[x], []).append(x)
+    for lengths, x in sorted(solution.used.items(), key=lambda p: (-p[1], p[0])):
+        before, total = int(total), total + x * share
+        many = int(total) - before
+        while many > 0:
+            some, slack = {}, capacity - sum(lengths)
+            for nth, y in enumerate(lengths, 1):
+                if left[y] > some.get(y, 0) and (nth < len(lengths) or not slack):
+                    got = y
+                else:
+                    pool = stock[solution.group[y]] if nth < len(lengths) else every
+                    k = bisect_right(pool, y + slack) - 1
+                    while k >= 0 and left[pool[k]] <= some.get(pool[k], 0):
+                        k -= 1
+                    got = pool[k] if k >= 0 else 0
+                slack += y - got
+                if got:
+                    some[got] = some.get(got, 0) + 1
+            if not some:
+                break
+            times = min(many, *(left[y] // k for y, k in some.items()))
+            for y, k in some.items():
+                left[y] -= k * times
+                if not left[y]:
+                    stock[solution.group[y]].remove(y)
+                    every.remove(y)
+            made = tuple(y for y in sorted(some, reverse=True) for _ in range(some[y]))
+            groups.setdefault(capacity - sum(made), []).append((times, made))
+            many -= times
+    return groups, {y: k for y, k in left.items() if k}
 
 
 def _best_fit(groups: dict[int, list], counts: dict[int, int], capacity: int) -> list[tuple[int, tuple]]:
@@ -108,69 +197,40 @@ def _best_fit(groups: dict[int, list], counts: dict[int, int], capacity: int) ->
     return [g for room in groups.values() for g in room]
 
 
-def plan(histogram: dict[int, int], capacity: int, tried: dict[float, int] | None = None) -> list[tuple[int, tuple]]:
-    """[(how many sequences, (lengths))] that hold each length as often as the histogram says.
+@dataclass
+class Report:
+    """Sequences of the plan, how many of them are configurations of the linear program, a lower bound of both, and the shares tried with their sequences."""
 
-    tried, where given, receives the sequences that each of SCALES takes; the first with the fewest is the plan.
-    """
-    tried = {} if tried is None else tried
-    grid = max(1, -(-capacity // CLASSES))
-    length_class = {x: -(-x // grid) for x in histogram if x < capacity}
-    total = {}
-    for x, c in length_class.items():
-        total[c] = total.get(c, 0) + histogram[x]
+    sequences: int = 0
+    configured: int = 0
+    bound: float = 0.0
+    tried: dict[float, int] = field(default_factory=dict)
+
+
+def plan(histogram: dict[int, int], capacity: int, report: Report | None = None) -> list[tuple[int, tuple]]:
+    """[(how many sequences, (lengths))] that hold each length as often as the histogram says."""
+    report = Report() if report is None else report
     whole = [(histogram[capacity], (capacity,))] if histogram.get(capacity) else []
-    if not total:
+    full = sum(m for m, _ in whole)
+    shorter = {x: n for x, n in histogram.items() if x < capacity and n}
+    if not shorter:
+        report.sequences = report.configured = full
+        report.bound = float(full)
         return whole
-    sizes = np.array(sorted(total))
-    counts = np.array([total[c] for c in sizes], float)
-    solution = fractional(counts, sizes, capacity // grid)
-    best = None
-    for scale in SCALES:
-        left = {x: histogram[x] for x in length_class}
-        stock = {c: sorted(x for x in left if length_class[x] == c) for c in total}
-        groups: dict[int, list] = {}
-        for key, x in sorted(solution.items(), key=lambda p: -p[1]) if scale else []:
-            copies = np.frombuffer(key, np.int64)
-            need = [(int(sizes[i]), int(copies[i])) for i in np.flatnonzero(copies)]
-            many = int(x * scale)
-            many = min([many, *(sum(left[y] for y in stock[c]) // k for c, k in need)])
-            while many > 0:
-                # The longest lengths left of each class, as many times as all of them last.
-                items, times = [], many
-                for c, k in need:
-                    while k:
-                        y = stock[c][-1]
-                        got = min(k, left[y])
-                        items.append((y, got))
-                        times = min(times, left[y] // got)
-                        k -= got
-                        left[y] -= got
-                        if not left[y]:
-                            stock[c].pop()
-                            times = 1
-                for y, got in items:
-                    left[y] += got
-                    if y not in stock[length_class[y]]:
-                        insort(stock[length_class[y]], y)
-                each: dict[int, int] = {}
-                for y, got in items:
-                    each[y] = each.get(y, 0) + got
-                times = max(1, min([many, *(left[y] // g for y, g in each.items())]))
-                for y, g in each.items():
-                    left[y] -= g * times
-                    if not left[y]:
-                        stock[length_class[y]].remove(y)
-                lengths = tuple(y for y, g in sorted(each.items(), reverse=True) for _ in range(g))
-                groups.setdefault(capacity - sum(lengths), []).append((times, lengths))
-                many -= times
-        done = _best_fit(groups, {x: n for x, n in left.items() if n}, capacity)
-        tried[scale] = sum(m for m, _ in whole + done)
-        if best is None or sum(m for m, _ in done) < sum(m for m, _ in best):
-            best = done
-    least = -(-sum(x * n for x, n in histogram.items()) // capacity)
-    won = min(tried, key=tried.get)
-    log.log(logging.INFO if won else logging.WARNING, "packing: share %s of the linear program's solution won, of sequences by share %s; at least %d are needed", won, tried, least)
+    large = {x: n for x, n in shorter.items() if x > SMALL * capacity}
+    tokens = sum(x * n for x, n in shorter.items())
+    if 2 * sum(x * n for x, n in large.items()) < tokens:
+        large = shorter
+    solution, best = fractional(large, capacity), None
+    report.bound = full + max(solution.bound, tokens / capacity)
+    for share in SHARES:
+        groups, left = rounded(solution, large, capacity, share)
+        made = sum(m for g in groups.values() for m, _ in g)
+        done = _best_fit(groups, left | {x: n for x, n in shorter.items() if x not in large}, capacity)
+        report.tried[share] = full + sum(m for m, _ in done)
+        if best is None or report.tried[share] < report.sequences:
+            best, report.sequences, report.configured = done, report.tried[share], full + made
+    log.info("packing: %s", report)
     return whole + best
 
 
@@ -225,28 +285,26 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     A row's rank among those of its length is counted in salted parts, so a length
     that a third of the rows have is no single task's. pieces is read twice: give a
-    staged table. Rows with equal doc_id and piece are ranked in any order; an
-    empty table gives an empty result; more columns pass through.
+    staged table. Null ids are ids as any other; rows with equal doc_id and piece are
+    ranked in any order; an empty table gives an empty result; more columns, of any
+    names but those two, pass through.
     """
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     layout = Layout(plan(histogram, capacity)) if histogram else None
     salts = max(16, sum(histogram.values()) // 500_000)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("length").orderBy("_salt")
-    before = counts.select("length", "_salt", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_r", F.row_number().over(inside) - 1).join(before, ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_r") + F.col("_before")).select(*pieces.columns, "_rank")
-    columns = [f.dataType.simpleString() for f in pieces.schema]
+    key = pieces.select(F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("row"), F.col("length").cast("long").alias("length"), "doc_id", "piece", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("salt"))
+    counts = key.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    ranked = key.withColumn("r", F.row_number().over(inside) - 1).join(before, ["length", "salt"]).select("row", "length", (F.col("r") + F.col("before")).alias("rank"))
+    out = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def place(it):
         for b in it:
-            n = b.schema.get_field_index("length")
-            seq, off = layout.place(b.column(n).to_numpy().astype(np.int64), b.column(len(columns)).to_numpy().astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq), pa.array(off)], names=[*b.schema.names[:-1], "sequence_id", "offset"])
+            seq, off = layout.place(b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.column(0).flatten(), pa.array(seq), pa.array(off)], names=out.names)
 
-    return ranked.mapInArrow(place, ", ".join(f"`{c}` {t}" for c, t in zip(pieces.columns, columns, strict=True)) + ", sequence_id long, offset long")
+    return ranked.mapInArrow(place, out)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:

@@ -127,12 +127,73 @@ def test_plans_hold_the_histogram(histogram):
     assert sum(m for m, _ in plan) <= 1.7 * max(total / 64, halves) + 1
 
 
-def test_plan_says_which_share_won(caplog):
+def test_plans_hold_the_histogram_of_dense_lengths():
     rng = np.random.default_rng(2)
-    histogram = {int(x): int(n) for x, n in zip(rng.choice(np.arange(1, 2048), 600, replace=False), rng.integers(1, 60, 600), strict=True)}
-    tried = {}
-    with caplog.at_level("INFO", logger=packing.log.name):
-        plan = packing.plan(histogram, 2048, tried)
-    assert tuple(tried) == packing.SCALES and sum(m for m, _ in plan) == min(tried.values())
-    (said,) = caplog.records
-    assert f"share {min(tried, key=tried.get)} " in said.message and (said.levelname == "WARNING") == (min(tried, key=tried.get) == 0.0)
+    histogram = {int(x): int(n) for x, n in zip(rng.choice(np.arange(1, 2049), 900, replace=False), rng.integers(1, 60, 900), strict=True)}
+    report, got = packing.Report(), Counter()
+    for many, lengths in packing.plan(histogram, 2048, report):
+        assert sum(lengths) <= 2048
+        for x in lengths:
+            got[x] += many
+    assert got == histogram and tuple(report.tried) == packing.SHARES and report.sequences == min(report.tried.values())
+    alone = sum(m for m, _ in packing._best_fit({}, dict(histogram), 2048))
+    assert report.bound <= report.sequences <= min(1.05 * report.bound, 1.005 * alone) and report.configured >= 0.8 * report.sequences
+
+
+def test_plans_of_documents_are_near_the_bound():
+    """Lengths spread as those of texts are: the tokens' bound can be met."""
+    rng = np.random.default_rng(7)
+    lengths = np.clip(np.exp(rng.normal(5.5, 1.2, 20_000)), 1, 2048).astype(int)
+    report = packing.Report()
+    packing.plan({int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True), strict=True)}, 2048, report)
+    assert report.sequences <= 1.002 * report.bound + 1 and report.configured >= 0.8 * report.sequences
+
+
+def best_possible(items, cap):
+    """Fewest sequences, by trying everything."""
+    best = len(items)
+
+    def go(k, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if k == len(items):
+            best = len(free)
+            return
+        for i in range(len(free)):
+            if free[i] >= items[k] and free[i] not in free[:i]:
+                go(k + 1, [*free[:i], free[i] - items[k], *free[i + 1 :]])
+        go(k + 1, [*free, cap - items[k]])
+
+    go(0, [])
+    return best
+
+
+def test_plans_are_near_the_optimum():
+    rng, more, bound_over = np.random.default_rng(4), 0, 0
+    for _ in range(40):
+        items = sorted((int(x) for x in rng.integers(8, 40, 11)), reverse=True)
+        report = packing.Report()
+        packing.plan(dict(Counter(items)), 64, report)
+        best = best_possible(items, 64)
+        more += report.sequences - best
+        bound_over += report.bound > best + 1e-6
+        assert report.sequences <= best + 1
+    assert more <= 6 and not bound_over
+
+
+def test_the_program_beats_best_fit_alone():
+    rng = np.random.default_rng(0)
+    histogram = {int(x): int(n) for x, n in zip(*np.unique(rng.integers(600, 1100, 20_000), return_counts=True), strict=True)}
+    report = packing.Report()
+    packing.plan(histogram, 2048, report)
+    alone = sum(m for m, _ in packing._best_fit({}, dict(histogram), 2048))
+    assert report.sequences < 0.99 * alone
+
+
+def test_packing_of_clashing_names(spark):
+    rows = [(i, 0, 1 + i % 7, "x", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length int, `_salt a.b` string, rank long")
+    got = packing.pack(df, 8)
+    assert got.columns == [*df.columns, "sequence_id", "offset"]
+    assert Counter(tuple(r)[:5] for r in got.collect()) == Counter(rows)
