@@ -3,18 +3,22 @@
 Consecutive windows that share a minimiser (the smallest hash of a few words in
 the window) are one packed string. It travels to the minimiser's bucket, so
 equal windows meet there, each word being sent about three times, not once for
-every window it is in. In a bucket windows are sorted and counted exactly. What
-a chunk of documents can settle by itself is not sent: of windows that several
-ids have there, only those of the smallest id leave the chunk, so groups of
-copies shrink to one string a chunk before the shuffle. A document sends a window
-and is told of it once, for its first place; the others are found when it is cut.
+every window it is in. In a bucket windows are sorted by 128 bits of hash, those
+that agree are compared word by word, and of equal ones that of the smallest
+document stays in a table while the others are flagged at once: a task holds each
+different window of its bucket once, however often it comes. What a task can
+settle by itself before the shuffle is not sent: of windows that several ids of a
+chunk have only those of the smallest id leave, and a window that is known to
+have been sent with a smaller id isn't sent again, so groups of copies and
+passages that many documents share shrink to about one string a task. A document
+sends a window and is told of it once, for its first place; the others are found
+when it is cut.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, batches, ids, longs, partitions_for, plan_bytes
 from .tokens import spread
-from .words import Words, buffers, chunks, cover, mix, window_hash
+from .words import MASKS, Words, buffers, chunks, cover, mix, window_hash
 
 #: Words of a window and of a minimiser.
 WINDOW, MINIMISER = 13, 3
-#: Bytes of packed strings in a bucket, and windows that a task sorts at once.
-BUCKET_BYTES, SORTED_WINDOWS = 32 << 20, 6_000_000
+#: Bytes of packed strings in a bucket, most partitions of them, and new windows that are sorted at once.
+BUCKET_BYTES, MOST_PARTITIONS, SORTED_WINDOWS = 32 << 20, 1 << 17, 400_000
+#: Windows that a task remembers as sent.
+SENT_WINDOWS = 1_000_000
 #: Bytes of text a task packs together.
 PACKED_TOGETHER = 4 << 20
 #: Effort of compression: what is sent is about half of all that the disks hold meanwhile.
@@ -47,8 +53,12 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows whose words also start in a smaller document, and windows that the same row has before. Rows are in order."""
+def later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, row: np.ndarray, differ=None) -> tuple[np.ndarray, np.ndarray]:
+    """Windows whose words also start in a smaller document, and windows that the same row has before. Rows are in order.
+
+    differ(i, j), where given, says which windows i have other words than windows j of the
+    same hashes, and differ.words(i) are a window's; else windows of equal hashes are equal.
+    """
     order = np.argsort(h1, kind="stable")
     s = h1[order]
     same = s[1:] == s[:-1]
@@ -56,14 +66,25 @@ def later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, row: np.ndarray) -> t
     twice[1:] |= same
     twice[:-1] |= same
     some = order[twice]
-    some = some[np.lexsort((some, doc[some], h2[some], h1[some]))]
-    a, b, d = h1[some], h2[some], doc[some]
-    new = np.ones(len(some), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    least = d[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(some) else d
     flagged, again = np.zeros(len(h1), bool), np.zeros(len(h1), bool)
-    flagged[some] = d > least
-    again[some[1:]] = ~new[1:] & (row[some][1:] == row[some][:-1])
+    if not len(some):
+        return flagged, again
+    tie = np.zeros(len(h1), np.int64)
+    for compared in (differ is None, True):
+        ties = (tie[some],) if tie.any() else ()
+        some = some[np.lexsort((some, row[some], doc[some], *ties, h2[some], h1[some]))]
+        a, b, d, t = h1[some], h2[some], doc[some], tie[some]
+        new = np.ones(len(some), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (t[1:] != t[:-1])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        if compared or not (odd := differ(some, some[head])).any():
+            break
+        # Groups of equal hashes and different words are told apart by their words.
+        seen: dict[bytes, int] = {}
+        for i in some[np.isin(head, head[odd])].tolist():
+            tie[i] = seen.setdefault(differ.words(i), len(seen) + 1)
+    flagged[some] = d > d[head]
+    again[some[1:]] = ~new[1:] & (row[some][1:] == row[some][:-1]) & (d[1:] == d[:-1])
     return flagged, again
 
 
@@ -87,7 +108,7 @@ def everywhere(w: Words, first: np.ndarray, n: int) -> np.ndarray:
 
 _ROWS = pa.schema([("bucket", pa.int32()), ("dest", pa.int32()), ("payload", pa.binary())])
 _ROW_COLUMNS = "bucket int, dest int, payload binary"
-_FLAG_TYPES = ("<i8", "<u2", "<i4")
+_FLAG_TYPES = ("<i8", "<i8", "<i4")
 
 
 def _squeeze(*parts: bytes, level: int = 3) -> bytes:
@@ -127,15 +148,48 @@ def _repeated_rows(w: Words, key: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack(buf: np.ndarray, offsets: np.ndarray, key: np.ndarray, row: np.ndarray, n: int, m: int, buckets: int, dests: int):
-    """Rows for the shuffle: packed strings by bucket, and flags that the chunk settles."""
+class _Sent:
+    """Windows that a task has sent, by 128 bits, and the smallest document of each: up to SENT_WINDOWS of those met again, and the newest others."""
+
+    def __init__(self):
+        self.h1, self.h2, self.doc, self.met = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def smaller(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which of the windows were sent with a smaller document."""
+        if not len(self.h1):
+            return np.zeros(len(h1), bool)
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        same = (self.h1[at] == h1) & (self.h2[at] == h2)
+        self.met[at[same]] = True
+        return same & (self.doc[at] < doc)
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> None:
+        if len(self.h1) + len(h1) > SENT_WINDOWS:
+            self._only(self.met if self.met.sum() + len(h1) <= SENT_WINDOWS else np.zeros(len(self.met), bool))
+            h1, h2, doc = h1[:SENT_WINDOWS], h2[:SENT_WINDOWS], doc[:SENT_WINDOWS]
+        h1, h2, doc = np.concatenate((self.h1, h1)), np.concatenate((self.h2, h2)), np.concatenate((self.doc, doc))
+        met = np.append(self.met, np.zeros(len(h1) - len(self.met), bool))
+        order = np.lexsort((doc, h1))
+        self.h1, self.h2, self.doc, self.met = h1[order], h2[order], doc[order], met[order]
+        first = np.ones(len(h1), bool)
+        first[1:] = self.h1[1:] != self.h1[:-1]
+        self._only(first)
+
+    def _only(self, some: np.ndarray) -> None:
+        self.h1, self.h2, self.doc, self.met = self.h1[some], self.h2[some], self.doc[some], self.met[some]
+
+
+def _pack(buf: np.ndarray, offsets: np.ndarray, key: np.ndarray, row: np.ndarray, n: int, m: int, buckets: int, dests: int, known: _Sent):
+    """Rows for the shuffle: packed strings by bucket, and flags that the task settles."""
     w = Words(buf, offsets, hashes=2)
     first = w.windows(n)
     first = first[~_repeated_rows(w, key, row)[w.doc()[first]]]
     if not len(first):
         return
     h1, h2, docs = w.window_hashes(first, n), w.window_hashes(first, n, 1), w.doc()[first]
-    flagged, again = later(h1, h2, key[docs], docs)
+    plain, starts, ends = spaced(w)
+    flagged, again = later(h1, h2, key[docs], docs, _Differ(plain, starts[first], ends[first + n - 1]))
+    flagged |= known.smaller(h1, h2, key[docs])
     if (told := flagged & ~again).any():
         d = docs[told]
         yield from _flags(key[d], row[d], first[told] - w.bounds[d], dests, buckets)
@@ -144,73 +198,144 @@ def _pack(buf: np.ndarray, offsets: np.ndarray, key: np.ndarray, row: np.ndarray
     sent = np.flatnonzero(~(flagged | again))
     if not len(sent):
         return
+    known.add(h1[sent], h2[sent], key[docs[sent]])
     f, least, docs = first[sent], least[sent], docs[sent]
     new = np.ones(len(f), bool)
     new[1:] = (least[1:] != least[:-1]) | (f[1:] != f[:-1] + 1) | (docs[1:] != docs[:-1])
     at = np.flatnonzero(new)
     last = f[np.append(at[1:], len(f)) - 1] + n - 1
-    bucket = (least[at] % np.uint64(buckets)).astype(np.int64)
+    bucket = (mix(least[at]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    starts, ends = w.starts[f[at]][order], w.ends[last][order]
+    starts, ends = starts[f[at]][order], ends[last][order]
     docs, pos, bucket = docs[at][order], (f[at] - w.bounds[docs[at]])[order].astype(np.int32), bucket[order]
-    raw = buf.tobytes()
-    strings = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     sizes = (ends - starts).astype(np.int32)
+    raw = plain.tobytes()
+    strings = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
     out = []
     for x, y in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-        out.append(_squeeze(b"".join(strings[x:y]), sizes[x:y].tobytes(), key[docs[x:y]].tobytes(), row[docs[x:y]].astype(np.uint16).tobytes(), pos[x:y].tobytes(), level=PACKED_LEVEL))
+        out.append(_squeeze(b"".join(strings[x:y]), sizes[x:y].tobytes(), key[docs[x:y]].tobytes(), row[docs[x:y]].tobytes(), pos[x:y].tobytes(), level=PACKED_LEVEL))
     yield from batches([bucket[cuts[:-1]].astype(np.int32), pa.nulls(len(out), pa.int32()), pa.array(out, pa.binary())], _ROWS)
 
 
+def spaced(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of a chunk with one space after each, and where they start and end."""
+    size = w.ends - w.starts
+    text = np.full(int(size.sum()) + len(w), np.uint8(32))
+    ends = np.cumsum(size + 1) - 1
+    keep = np.ones(len(text), bool)
+    keep[ends] = False
+    text[keep] = w.buf[w.inside]
+    return text, ends - size, ends
+
+
+class _Differ:
+    """Compares windows by their words: spans of a text in which words are parted by single spaces."""
+
+    def __init__(self, text: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.text, self.start, self.end = text, start, end
+
+    def words(self, i: int) -> bytes:
+        return self.text[self.start[i] : self.end[i]].tobytes()
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        size = self.end[i] - self.start[i]
+        out = size != self.end[j] - self.start[j]
+        left, k = np.flatnonzero(~out & (i != j)), 0
+        eight = np.ndarray((len(self.text) + 8,), "<u8", np.concatenate((self.text, np.zeros(16, np.uint8))).data, strides=(1,))
+        while len(left) and k < 1024:
+            many = np.minimum(size[left] - k, 8)
+            bits = (eight[self.start[i[left]] + k] ^ eight[self.start[j[left]] + k]) & MASKS[many]
+            out[left[bits != 0]] = True
+            k += 8
+            left = left[(bits == 0) & (size[left] > k)]
+        for x in left.tolist():
+            out[x] = self.words(i[x]) != self.words(j[x])
+        return out
+
+
+class _Bucket:
+    """The different windows of a bucket, each with the smallest document that has come with it, and their words."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.clear()
+
+    def clear(self) -> None:
+        self.text, self.new, self.waiting, self.size = np.zeros(0, np.uint8), [], 0, 0
+        self.held = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, "<i8", "<i8", "<i4", np.int64, np.int64))
+
+    def add(self, payload: bytes):
+        """Takes in a packed row; gives flagged windows (documents, rows, places) now and then."""
+        text, *arrays = _expand(payload)
+        size_of, doc, row, pos = (np.frombuffer(x, t) for x, t in zip(arrays, ("<i4", *_FLAG_TYPES), strict=True))
+        offsets = np.concatenate(([0], np.cumsum(size_of, dtype=np.int64)))
+        for i, _, buf, offs in chunks(np.frombuffer(text, np.uint8), offsets):
+            w = Words(buf, offs, hashes=2)
+            first = w.windows(self.n)
+            of = w.doc()[first]
+            got = (w.window_hashes(first, self.n), w.window_hashes(first, self.n, 1), doc[i + of], row[i + of], pos[i + of] + (first - w.bounds[of]).astype(np.int32), w.starts[first], w.ends[first + self.n - 1])
+            self.new.append((buf, got))
+            self.waiting += len(first)
+            if self.waiting >= max(SORTED_WINDOWS, self.size // 2):
+                yield from self.settle()
+
+    def settle(self):
+        if not self.new:
+            return
+        base = np.cumsum([len(self.text), *(len(buf) for buf, _ in self.new)])
+        text = np.concatenate((self.text, *(buf for buf, _ in self.new)))
+        h1, h2, doc, row, at, start, end = (np.concatenate(x) for x in zip(self.held, *((*g[:5], g[5] + b, g[6] + b) for b, (_, g) in zip(base.tolist(), self.new, strict=False)), strict=True))
+        self.new, self.waiting = [], 0
+        flagged, again = later(h1, h2, doc, row, _Differ(text, start, end))
+        if flagged.any():
+            yield doc[flagged], row[flagged], at[flagged]
+        keep = ~(flagged | again)
+        start, end = start[keep], end[keep]
+        used = np.zeros(len(text) + 1, np.int32)
+        np.add.at(used, start, 1)
+        np.add.at(used, end, -1)
+        used = np.cumsum(used[:-1]) > 0
+        moved = np.concatenate(([0], np.cumsum(used)))
+        self.text, self.size = text[used], int(keep.sum())
+        self.held = (h1[keep], h2[keep], doc[keep], row[keep], at[keep], moved[start], moved[end])
+
+
 def _count(it, n: int, dests: int):
-    """Flags of one bucket's windows. The packed rows wait in an unnamed local file; windows are sorted in parts by hash where there are many."""
-    with tempfile.TemporaryFile() as kept:
-        sizes = []
-        for b in it:
-            settled = b.column(1).is_valid()
-            if (mine := b.filter(settled)).num_rows:
-                yield mine
-            for p in b.column(2).filter(pa.compute.invert(settled)).to_pylist():
-                kept.write(p)
-                sizes.append(len(p))
-        parts = 1 + sum(sizes) * 3 // (SORTED_WINDOWS * 10)  # a window takes some 10 bytes of a payload that is a third of its text
-        for part in range(parts):
-            kept.seek(0)
-            got = []
-            for size in sizes:
-                text, *arrays = _expand(kept.read(size))
-                size_of, doc, row, pos = (np.frombuffer(x, t) for x, t in zip(arrays, ("<i4", *_FLAG_TYPES), strict=True))
-                offsets = np.concatenate(([0], np.cumsum(size_of, dtype=np.int64)))
-                for i, _, buf, offs in chunks(np.frombuffer(text, np.uint8), offsets):
-                    w = Words(buf, offs, hashes=2)
-                    first = w.windows(n)
-                    of = w.doc()[first]
-                    h1 = w.window_hashes(first, n)
-                    some = (h1 >> np.uint64(7)) % np.uint64(parts) == part if parts > 1 else slice(None)
-                    first, of, h1 = first[some], of[some], h1[some]
-                    got.append((h1, w.window_hashes(first, n, 1), doc[i + of], row[i + of], pos[i + of] + (first - w.bounds[of]).astype(np.int32)))
-            if not got:
-                continue
-            h1, h2, doc, row, at = (np.concatenate(x) for x in zip(*got, strict=True))
-            del got
-            flagged, _ = later(h1, h2, doc, row)
-            if flagged.any():
-                yield from _flags(doc[flagged], row[flagged], at[flagged], dests, 1)
+    """Flags of windows in rows that come bucket by bucket; rows with flags pass."""
+    bucket, table = None, _Bucket(n)
+    for b in it:
+        settled = b.column(1).is_valid()
+        if (mine := b.filter(settled)).num_rows:
+            yield mine
+        packed = b.filter(pa.compute.invert(settled))
+        for k, p in zip(packed.column(0).to_pylist(), packed.column(2).to_pylist(), strict=True):
+            if k != bucket:
+                for got in table.settle():
+                    yield from _flags(*got, dests, 1)
+                table.clear()
+                bucket = k
+            for got in table.add(p):
+                yield from _flags(*got, dests, 1)
+    for got in table.settle():
+        yield from _flags(*got, dests, 1)
 
 
 def repeated_windows(docs: DataFrame, dests: int, n: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """dest, payload: windows that a smaller doc_id has too, packed by doc_id modulo dests."""
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(docs) * 5 // BUCKET_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("text"), F.lit(65536)).alias("row"))
+    buckets = min(1 << 30, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(docs) * 5 // BUCKET_BYTES)))
+    each = -(-buckets // MOST_PARTITIONS)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row"))
 
     def pack(it):
+        known = _Sent()
         for b in it:
             key, row = ids(b.column(0)), ids(b.column(2))
             for i, j, buf, offsets in chunks(*buffers(b.column(1)), PACKED_TOGETHER):
-                yield from _pack(buf, offsets, key[i:j], row[i:j], n, m, buckets, dests)
+                yield from _pack(buf, offsets, key[i:j], row[i:j], n, m, buckets, dests, known)
 
-    packed = rows.mapInArrow(pack, _ROW_COLUMNS).repartition(buckets, "bucket")
+    # A partition is a bucket, or a run of buckets one after the other.
+    packed = rows.mapInArrow(pack, _ROW_COLUMNS).repartitionById(-(-buckets // each), (F.col("bucket") / each).cast("int")).sortWithinPartitions("bucket")
     return packed.mapInArrow(lambda it: _count(it, n, dests), _ROW_COLUMNS).select("dest", "payload")
 
 
@@ -275,7 +400,7 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, m: int = MINIMISER, output:
     names, k, key_at = rows.columns, rows.columns.index("text"), rows.columns.index("doc_id")
     c = names.index("n_chars") if "n_chars" in names else None
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID)))
-    keyed = rows.select(_dest(key, dests).alias("_dest"), F.lit(1).alias("_kind"), F.struct(*names).alias("_doc"), F.pmod(F.xxhash64("text"), F.lit(65536)).alias("_row"))
+    keyed = rows.select(_dest(key, dests).alias("_dest"), F.lit(1).alias("_kind"), F.struct(*(F.col(f"`{x}`") for x in names)).alias("_doc"), F.xxhash64("text").alias("_row"))
     flags = repeated_windows(docs, dests, n, m).select(F.col("dest").alias("_dest"), F.lit(0).alias("_kind"), F.col("payload").alias("_flags"))
     # A part's flags come before its documents, each of which is then read once, whole.
     dealt = keyed.unionByName(flags, allowMissingColumns=True).repartition(dests, "_dest").sortWithinPartitions("_dest", "_kind").select("_dest", "_doc", "_row", "_flags")

@@ -23,7 +23,7 @@ CHUNK_BYTES = 2 << 20
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _WINDOW_BASES = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F))
 #: Masks of the first 0 to 8 bytes of a little-endian word.
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Spans of more bytes are hashed one by one.
 _STEPPED = 1024
 _powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -83,11 +83,11 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
     padded = np.concatenate((buf, np.zeros(16, np.uint8)))
     eight = np.ndarray((len(buf) + 8,), "<u8", padded.data, strides=(1,))
     base = _BASES[which]
-    h = mix((eight[starts] & _MASKS[np.minimum(size, 8).astype(np.int64)]) ^ (size * base))
+    h = mix((eight[starts] & MASKS[np.minimum(size, 8).astype(np.int64)]) ^ (size * base))
     more, k = np.flatnonzero(size > 8), 8
     while len(more) and k < _STEPPED:
         left = size[more] - np.uint64(k)
-        h[more] = mix(h[more] * base + (eight[starts[more] + k] & _MASKS[np.minimum(left, 8).astype(np.int64)]))
+        h[more] = mix(h[more] * base + (eight[starts[more] + k] & MASKS[np.minimum(left, 8).astype(np.int64)]))
         k += 8
         more = more[size[more] > k]
     for i in more.tolist():

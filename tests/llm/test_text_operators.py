@@ -90,10 +90,13 @@ def test_substring_removal(spark, rows):
     assert got == brute_removal(rows)
 
 
-def test_substring_removal_in_parts_and_chunks(spark, monkeypatch):
+@pytest.mark.parametrize(("sent", "most"), [(1_000_000, 1 << 17), (60, 2)])
+def test_substring_removal_in_parts_and_chunks(spark, monkeypatch, sent, most):
     monkeypatch.setattr(substring, "SORTED_WINDOWS", 20)
     monkeypatch.setattr(substring, "PACKED_TOGETHER", 500)
-    rows = near_copies(24)
+    monkeypatch.setattr(substring, "SENT_WINDOWS", sent)
+    monkeypatch.setattr(substring, "MOST_PARTITIONS", most)
+    rows = near_copies(60) + [(-5 + i, near_copies(24)[4 * i + 2][1]) for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert Counter(tuple(r) for r in substring.remove_repeats(df).collect()) == brute_removal(rows)
 
@@ -111,6 +114,32 @@ def test_substring_removal_of_passages_twice_in_a_document(spark, monkeypatch, t
     assert Counter(tuple(r) for r in substring.remove_repeats(df).collect()) == brute_removal(rows)
 
 
+def test_windows_of_equal_hashes_are_told_apart_by_words():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["a", "a" * 9, "c" * 1500], 2)) for _ in range(40)]
+    raw = "".join(texts).encode()
+    end = np.cumsum([len(t) for t in texts])
+    start = end - [len(t) for t in texts]
+    differ = substring._Differ(np.frombuffer(raw, np.uint8), start, end)
+    doc, same = rng.integers(0, 12, 40), np.zeros(40, np.uint64)
+    flagged, again = substring.later(same, same, doc, np.arange(40), differ)
+    assert flagged.tolist() == [any(x == t and e < d for x, e in zip(texts, doc, strict=True)) for t, d in zip(texts, doc, strict=True)]
+    assert not again.any()
+    table = substring._Bucket(2)
+    table.held = (same, same, doc, np.arange(40), np.zeros(40, "<i4"), start, end)
+    table.text, table.size = np.frombuffer(raw, np.uint8), 40
+    table.new = [(np.zeros(0, np.uint8), tuple(x[:0] for x in table.held))]
+    ((gone, *_),) = table.settle()
+    assert sorted(gone.tolist()) == sorted(doc[flagged].tolist())
+    assert [table.text[a:b].tobytes().decode() for a, b in zip(table.held[5], table.held[6], strict=True)] == [t for t, f in zip(texts, flagged, strict=True) if not f]
+
+
+def test_substring_of_clashing_names(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    df = spark.createDataFrame([(1, passage, 1, 2, 3), (2, passage + " own", 4, 5, 6)], "doc_id long, text string, `a.b` int, _dest int, _doc int")
+    assert sorted(tuple(r) for r in substring.remove_repeats(df, output="texts").collect()) == [(1, passage, 1, 2, 3), (2, "own", 4, 5, 6)]
+
+
 def test_substring_texts_keep_columns(docs, no_docs):
     out = substring.remove_repeats(docs, output="texts")
     assert out.columns == docs.columns
