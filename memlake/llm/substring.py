@@ -34,9 +34,9 @@ from .words import MASKS, Words, buffers, chunks, cover, mix, window_hash
 #: Words of a window and of a minimiser.
 WINDOW, MINIMISER = 13, 3
 #: Bytes of packed strings in a bucket, most partitions of them, and new windows that are sorted at once.
-BUCKET_BYTES, MOST_PARTITIONS, SORTED_WINDOWS = 32 << 20, 1 << 17, 400_000
-#: Windows that a task remembers as sent.
-SENT_WINDOWS = 1_000_000
+BUCKET_BYTES, MOST_PARTITIONS, SORTED_WINDOWS = 20 << 20, 1 << 17, 800_000
+#: Windows that a task remembers as sent, and bytes of packed strings that are split into words at once.
+SENT_WINDOWS, SPLIT_TOGETHER = 1_000_000, 1 << 20
 #: Bytes of text a task packs together.
 PACKED_TOGETHER = 4 << 20
 #: Effort of compression: what is sent is about half of all that the disks hold meanwhile.
@@ -219,18 +219,18 @@ def _pack(buf: np.ndarray, offsets: np.ndarray, key: np.ndarray, row: np.ndarray
 
 
 def spaced(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words of a chunk with one space after each, and where they start and end."""
+    """All words of a chunk with one space after each (and 16 more), and where they start and end."""
     size = w.ends - w.starts
-    text = np.full(int(size.sum()) + len(w), np.uint8(32))
+    text = np.full(int(size.sum()) + len(w) + 16, np.uint8(32))
     ends = np.cumsum(size + 1) - 1
     keep = np.ones(len(text), bool)
-    keep[ends] = False
+    keep[ends] = keep[len(text) - 16 :] = False
     text[keep] = w.buf[w.inside]
     return text, ends - size, ends
 
 
 class _Differ:
-    """Compares windows by their words: spans of a text in which words are parted by single spaces."""
+    """Compares windows by their words: spans of a text in which words are parted by single spaces. The text has 16 bytes more."""
 
     def __init__(self, text: np.ndarray, start: np.ndarray, end: np.ndarray):
         self.text, self.start, self.end = text, start, end
@@ -242,7 +242,7 @@ class _Differ:
         size = self.end[i] - self.start[i]
         out = size != self.end[j] - self.start[j]
         left, k = np.flatnonzero(~out & (i != j)), 0
-        eight = np.ndarray((len(self.text) + 8,), "<u8", np.concatenate((self.text, np.zeros(16, np.uint8))).data, strides=(1,))
+        eight = np.ndarray((len(self.text) - 8,), "<u8", self.text.data, strides=(1,))
         while len(left) and k < 1024:
             many = np.minimum(size[left] - k, 8)
             bits = (eight[self.start[i[left]] + k] ^ eight[self.start[j[left]] + k]) & MASKS[many]
@@ -254,6 +254,9 @@ class _Differ:
         return out
 
 
+_SPARE = np.zeros(16, np.uint8)
+
+
 class _Bucket:
     """The different windows of a bucket, each with the smallest document that has come with it, and their words."""
 
@@ -262,43 +265,65 @@ class _Bucket:
         self.clear()
 
     def clear(self) -> None:
-        self.text, self.new, self.waiting, self.size = np.zeros(0, np.uint8), [], 0, 0
+        self.packed, self.bytes, self.new, self.waiting, self.dead = [], 0, [], 0, 0
+        self.text = np.zeros(0, np.uint8)
         self.held = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, "<i8", "<i8", "<i4", np.int64, np.int64))
 
     def add(self, payload: bytes):
         """Takes in a packed row; gives flagged windows (documents, rows, places) now and then."""
-        text, *arrays = _expand(payload)
-        size_of, doc, row, pos = (np.frombuffer(x, t) for x, t in zip(arrays, ("<i4", *_FLAG_TYPES), strict=True))
-        offsets = np.concatenate(([0], np.cumsum(size_of, dtype=np.int64)))
-        for i, _, buf, offs in chunks(np.frombuffer(text, np.uint8), offsets):
-            w = Words(buf, offs, hashes=2)
-            first = w.windows(self.n)
-            of = w.doc()[first]
-            got = (w.window_hashes(first, self.n), w.window_hashes(first, self.n, 1), doc[i + of], row[i + of], pos[i + of] + (first - w.bounds[of]).astype(np.int32), w.starts[first], w.ends[first + self.n - 1])
-            self.new.append((buf, got))
-            self.waiting += len(first)
-            if self.waiting >= max(SORTED_WINDOWS, self.size // 2):
-                yield from self.settle()
+        self.packed.append(_expand(payload))
+        self.bytes += len(self.packed[-1][0])
+        if self.bytes >= SPLIT_TOGETHER:
+            self._split()
+            if self.waiting >= max(SORTED_WINDOWS, len(self.held[0]) // 2):
+                yield from self._settle()
+
+    def _split(self) -> None:
+        """Windows of the packed rows that wait."""
+        text = np.frombuffer(b"".join(p[0] for p in self.packed), np.uint8)
+        size_of, doc, row, pos = (np.frombuffer(b"".join(p[k] for p in self.packed), t) for k, t in enumerate(("<i4", *_FLAG_TYPES), 1))
+        self.packed, self.bytes = [], 0
+        w = Words(text, np.concatenate(([0], np.cumsum(size_of, dtype=np.int64))), hashes=2)
+        first = w.windows(self.n)
+        of = w.doc()[first]
+        self.new.append((text, (w.window_hashes(first, self.n), w.window_hashes(first, self.n, 1), doc[of], row[of], pos[of] + (first - w.bounds[of]).astype(np.int32), w.starts[first], w.ends[first + self.n - 1])))
+        self.waiting += len(first)
 
     def settle(self):
-        if not self.new:
-            return
+        """The flagged windows of all that has come."""
+        if self.packed:
+            self._split()
+        if self.new:
+            yield from self._settle()
+
+    def _settle(self):
         base = np.cumsum([len(self.text), *(len(buf) for buf, _ in self.new)])
-        text = np.concatenate((self.text, *(buf for buf, _ in self.new)))
+        text = np.concatenate((self.text, *(buf for buf, _ in self.new), _SPARE))
         h1, h2, doc, row, at, start, end = (np.concatenate(x) for x in zip(self.held, *((*g[:5], g[5] + b, g[6] + b) for b, (_, g) in zip(base.tolist(), self.new, strict=False)), strict=True))
         self.new, self.waiting = [], 0
         flagged, again = later(h1, h2, doc, row, _Differ(text, start, end))
         if flagged.any():
             yield doc[flagged], row[flagged], at[flagged]
         keep = ~(flagged | again)
-        start, end = start[keep], end[keep]
-        used = np.zeros(len(text) + 1, np.int32)
-        np.add.at(used, start, 1)
-        np.add.at(used, end, -1)
-        used = np.cumsum(used[:-1]) > 0
-        moved = np.concatenate(([0], np.cumsum(used)))
-        self.text, self.size = text[used], int(keep.sum())
-        self.held = (h1[keep], h2[keep], doc[keep], row[keep], at[keep], moved[start], moved[end])
+        self.dead += len(keep) - int(keep.sum())
+        self.text, self.held = text[:-16], tuple(x[keep] for x in (h1, h2, doc, row, at, start, end))
+        if 4 * self.dead > len(self.held[0]):
+            self._compact()
+
+    def _compact(self) -> None:
+        """Only the bytes of windows that are held stay."""
+        *rest, start, end = self.held
+        order = np.argsort(start, kind="stable")
+        upto = np.maximum.accumulate(end[order])
+        new = np.ones(len(order), bool)
+        new[1:] = start[order][1:] > upto[:-1]
+        first = np.flatnonzero(new)
+        begin, stop = start[order][first], np.append(upto[first[1:] - 1], upto[-1:])
+        raw = self.text.tobytes()
+        self.text = np.frombuffer(b"".join([raw[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]), np.uint8)
+        shift = np.empty(len(order), np.int64)
+        shift[order] = (begin - np.concatenate(([0], np.cumsum(stop - begin)[:-1])))[np.cumsum(new) - 1] if len(order) else 0
+        self.held, self.dead = (*rest, start - shift, end - shift), 0
 
 
 def _count(it, n: int, dests: int):

@@ -93,6 +93,7 @@ def test_substring_removal(spark, rows):
 @pytest.mark.parametrize(("sent", "most"), [(1_000_000, 1 << 17), (60, 2)])
 def test_substring_removal_in_parts_and_chunks(spark, monkeypatch, sent, most):
     monkeypatch.setattr(substring, "SORTED_WINDOWS", 20)
+    monkeypatch.setattr(substring, "SPLIT_TOGETHER", 300)
     monkeypatch.setattr(substring, "PACKED_TOGETHER", 500)
     monkeypatch.setattr(substring, "SENT_WINDOWS", sent)
     monkeypatch.setattr(substring, "MOST_PARTITIONS", most)
@@ -120,14 +121,14 @@ def test_windows_of_equal_hashes_are_told_apart_by_words():
     raw = "".join(texts).encode()
     end = np.cumsum([len(t) for t in texts])
     start = end - [len(t) for t in texts]
-    differ = substring._Differ(np.frombuffer(raw, np.uint8), start, end)
+    differ = substring._Differ(np.frombuffer(raw + bytes(16), np.uint8), start, end)
     doc, same = rng.integers(0, 12, 40), np.zeros(40, np.uint64)
     flagged, again = substring.later(same, same, doc, np.arange(40), differ)
     assert flagged.tolist() == [any(x == t and e < d for x, e in zip(texts, doc, strict=True)) for t, d in zip(texts, doc, strict=True)]
     assert not again.any()
     table = substring._Bucket(2)
     table.held = (same, same, doc, np.arange(40), np.zeros(40, "<i4"), start, end)
-    table.text, table.size = np.frombuffer(raw, np.uint8), 40
+    table.text = np.frombuffer(raw, np.uint8)
     table.new = [(np.zeros(0, np.uint8), tuple(x[:0] for x in table.held))]
     ((gone, *_),) = table.settle()
     assert sorted(gone.tolist()) == sorted(doc[flagged].tolist())
