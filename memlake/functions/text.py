@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Accented letters and what they fold to, for the index and the hash embedding.
 FOLD_FROM = "áàâãäåéèêëíìîïóòôõöúùûüçñ"
@@ -117,32 +112,36 @@ def sanitize_digest(text: Column | str, most: int) -> Column:
     return F.when(F.octet_length(clean) <= most, clean).otherwise(F.concat(byte_prefix(clean, most), F.lit("[…]")))
 
 
-def tags_of(text: str) -> str:
-    """Tags of one text: paths and URLs as they stand, then words by frequency."""
-    tags: list[str] = []
-    seen: Counter[str] = Counter()
-    for raw in text.split():
-        size = len(raw.encode())
-        if ("/" in raw and size > MIN_TOKEN_BYTES) or raw.startswith("http"):
-            clean = raw.strip(TAG_TRIM)
-            if len(clean.encode()) > MIN_TOKEN_BYTES and len(tags) < MAX_TAGS and clean not in tags:
-                tags.append(clean)
-            continue
-        token = "".join(c for c in raw if c.isalnum() or c in "_-.").lower().strip(".-")
-        if len(token.encode()) >= MIN_TOKEN_BYTES and not all(c.isnumeric() for c in token) and token not in _STOP:
-            seen[token] += 1
-    for token, _ in sorted(seen.items(), key=lambda p: (-p[1], p[0])):
-        if len(tags) >= MAX_TAGS:
-            break
-        if token not in tags:
-            tags.append(token)
-    return " ".join(tags)
-
-
-_STOP = frozenset(STOPWORDS)
-
-
-@F.pandas_udf(StringType())
-def extract_tags(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.fillna("").map(tags_of)
+def _let(value: Column, body) -> Column:
+    """body(value), value being computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _by_frequency(tokens: Column) -> Column:
+    """The different tokens, the most frequent first, of equal frequency in their order."""
+
+    def ranked(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+        return _let(starts, lambda at: F.transform(F.array_sort(F.transform(at, lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), F.size(s))).alias("n"), F.get(s, i).alias("t")))), lambda x: x["t"]))
+
+    return _let(F.array_sort(tokens), ranked)
+
+
+def extract_tags(text: Column | str) -> Column:
+    """Up to 24 tags between spaces: paths and URLs as they stand, then the most frequent other words."""
+    size = F.octet_length
+    parts = F.filter(F.split(F.coalesce(col(text), F.lit("")), r"[\s\p{Z}\x{85}]+"), lambda w: w != "")
+
+    def is_path(w: Column) -> Column:
+        return (w.contains("/") & (size(w) > MIN_TOKEN_BYTES)) | w.startswith("http")
+
+    def word(w: Column) -> Column:
+        return F.regexp_replace(F.lower(F.regexp_replace(w, r"[^\p{IsAlphabetic}\p{N}_.\-]", "")), r"^[.\-]+|[.\-]+$", "")
+
+    def tags(ws: Column) -> Column:
+        trimmed = F.transform(F.filter(ws, is_path), lambda w: F.btrim(w, F.lit(TAG_TRIM)))
+        paths = F.slice(F.array_distinct(F.filter(trimmed, lambda w: size(w) > MIN_TOKEN_BYTES)), 1, MAX_TAGS)
+        words_ = F.filter(F.transform(F.filter(ws, lambda w: ~is_path(w)), word), lambda t: (size(t) >= MIN_TOKEN_BYTES) & ~t.rlike(r"^\p{N}+$") & ~t.isin(STOPWORDS))
+        return F.array_join(F.slice(F.concat(paths, F.array_except(_by_frequency(words_), paths)), 1, MAX_TAGS), " ")
+
+    return _let(parts, tags)

@@ -12,7 +12,7 @@ CATEGORIES = ("quick_fix", "standard", "architecture", "research")
 RULES = {"quick_fix": "haiku", "standard": "sonnet", "architecture": "opus", "research": "opus"}
 KEYWORDS = {
     "quick_fix": "fix bug typo corrigir conserta ajustar ajuste quick rápido rapido pequeno rename renomear".split(),
-    "standard": "implement implementar add adicionar feature build construir refactor refatorar criar create update atualizar atualizar".split(),
+    "standard": "implement implementar add adicionar feature build construir refactor refatorar criar create update atualizar".split(),
     "architecture": "architecture arquitetura design redesign migrate migração migracao sistema system scale escalar infra infraestrutura".split(),
     "research": "research pesquisar pesquisa investigate investigar analyze analisar compare comparar avaliar evaluate avaliação".split(),
 }

@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def percentile_floor(values: Column, p: int) -> Column:
-    """The value at place n * p // 100, counted from 0, of the sorted values."""
-    s = F.array_sort(values)
-    return F.get(s, F.least(F.size(s) - 1, F.floor(F.size(s) * p / 100).cast("int")))
+def percentiles(rows: DataFrame, by: str, value: str, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """by, and for each name -> (kind, p) the exact percentile of value, nulls aside.
 
+    Places are counted from 0 in the sorted values: kind "floor" takes place
+    n * p // 100 (the last at most), "ceil" place ceil(n * p / 100) - 1. Equal values
+    are counted before they are sorted, so a group is its different values.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(by)
+    counts = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
+
+    def place(kind: str, p: int) -> Column:
+        n = F.col("_all")
+        return F.least(n, F.floor(n * p / 100) + 1) if kind == "floor" else F.greatest(F.lit(1), F.ceil(n * p / 100))
 
-def percentile_ceil(values: Column, p: int) -> Column:
-    """The value at place ceil(n * p / 100) - 1, counted from 0, of the sorted values."""
-    s = F.array_sort(values)
-    return F.get(s, F.greatest(F.lit(0), F.ceil(F.size(s) * p / 100).cast("int") - 1))
+    return counts.groupBy(by).agg(*(F.min(F.when(F.col("_upto") >= place(*what), F.col(value))).alias(name) for name, what in wanted.items()))
 
 
 def rank_metrics(ranked: DataFrame, gold: DataFrame, k: int = 3, recall_at: int = 10) -> DataFrame:

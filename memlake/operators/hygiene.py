@@ -10,13 +10,14 @@ from ..functions import text as T
 # Fixed values of the rules.
 HOT_ZONE, TOOL_LARGE, ASSISTANT_LARGE, ASSISTANT_OLDER = 20, 100, 200, 20
 PRECOMPACT_TARGET, CLEAR_TARGET = 20_000, 4_000
+UI_PREVIEW = 80
 KEEP = 1.7976931348623157e308
 
 
 def aged(items: DataFrame) -> DataFrame:
     """Adds total and age (0 for a session's newest item). items: session, index, role, kind, tokens_est."""
-    total = F.count("*").over(Window.partitionBy("session"))
-    return items.withColumn("total", total).withColumn("age", F.greatest(F.lit(0), F.col("total") - (F.col("index") + 1)))
+    total = items.groupBy(F.col("session").alias("_session")).agg(F.count("*").alias("total"))
+    return items.join(total, F.col("session").eqNullSafe(F.col("_session"))).drop("_session").withColumn("age", F.greatest(F.lit(0), F.col("total") - (F.col("index") + 1)))
 
 
 def score_items(items: DataFrame) -> DataFrame:
@@ -73,9 +74,9 @@ def stub_for(kind: Column, tokens: Column, hint: Column) -> Column:
     return F.concat(F.lit("[ng-evicted: "), kind, F.lit(" ~"), tokens.cast("string"), F.lit("tok — recupere com: ng search "), hint, F.lit(" | id interno preservado no banco]"))
 
 
-def ui_stub(kind: Column, tokens: Column, preview: Column) -> Column:
-    """The stub of a single item that a user drops: it shows the first 80 characters."""
-    return F.concat(F.lit("[removed: "), kind, F.lit(" ~"), tokens.cast("string"), F.lit("tok — "), F.substring(preview, 1, 80), F.lit("]"))
+def ui_stub(content: Column) -> Column:
+    """The stub of a single item that a user drops: its first 80 characters, an ellipsis if there are more, and how to get it back."""
+    return F.concat(F.lit("[ng-evicted: "), F.substring(content, 1, UI_PREVIEW), F.when(F.length(content) > UI_PREVIEW, "…").otherwise(""), F.lit(" — recupere com `ng search`]"))
 
 
 def native_stub_tokens(items: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,6 +30,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name under spark.checkpoint.dir, which driver and executors share; a session on one machine may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share before the session starts")
+        base = _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="memlake-"))
+    return f"{base.rstrip('/')}/memlake-{uuid.uuid4().hex}"
+
+
 def local_session(name: str = "memlake", cores: str = "*", **conf: str) -> SparkSession:
     """A local session with the settings that the library expects (UTC, adaptive execution)."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)

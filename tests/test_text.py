@@ -33,10 +33,13 @@ def test_terms(spark):
     assert one(spark, "Autostart 12  Run3 now", T.normalize("t")) == ("autostart  run now",)
 
 
-def test_tags():
-    tags = T.tags_of('see "src/a.rs", http://x.y/z. the Parser parser 123 v1.2. a-b').split()
+def test_tags(spark):
+    (tags,) = one(spark, 'see "src/a.rs", http://x.y/z. the Parser parser 123 v1.2. a-b', T.extract_tags("t"))
+    tags = tags.split()
     assert tags[:2] == ["src/a.rs", "http://x.y/z."] and tags[2] == "parser" and "123" not in tags and "the" not in tags and "v1.2" in tags
-    assert len(T.tags_of(" ".join(f"word{i}" for i in range(40))).split()) == 24
+    assert len(one(spark, " ".join(f"word{i}" for i in range(40)), T.extract_tags("t"))[0].split()) == 24
+    assert one(spark, "", T.extract_tags("t")) == one(spark, None, T.extract_tags("t")) == ("",)
+    assert one(spark, "b a b a c c c a/b a/b x/y/z (a/b) ééé", T.extract_tags("t")) == ("x/y/z ééé",)
 
 
 def test_mostly_code(spark):
