@@ -112,6 +112,10 @@ def sanitize_digest(text: Column | str, most: int) -> Column:
     return F.when(F.octet_length(clean) <= most, clean).otherwise(F.concat(byte_prefix(clean, most), F.lit("[…]")))
 
 
+#: ASCII characters that no word of the tags has.
+_NO_TAG = "".join(chr(c) for c in range(1, 128) if not chr(c).isalnum() and chr(c) not in "_-.")
+
+
 def _let(value: Column, body) -> Column:
     """body(value), value being computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -122,9 +126,9 @@ def _by_frequency(tokens: Column) -> Column:
 
     def ranked(s: Column) -> Column:
         starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
-        return _let(starts, lambda at: F.transform(F.array_sort(F.transform(at, lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), F.size(s))).alias("n"), F.get(s, i).alias("t")))), lambda x: x["t"]))
+        return _let(starts, lambda at: F.transform(F.sort_array(F.transform(at, lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), F.size(s))).alias("n"), F.get(s, i).alias("t")))), lambda x: x["t"]))
 
-    return _let(F.array_sort(tokens), ranked)
+    return _let(F.sort_array(tokens), ranked)
 
 
 def extract_tags(text: Column | str) -> Column:
@@ -135,13 +139,20 @@ def extract_tags(text: Column | str) -> Column:
     def is_path(w: Column) -> Column:
         return (w.contains("/") & (size(w) > MIN_TOKEN_BYTES)) | w.startswith("http")
 
+    def is_ascii(w: Column) -> Column:
+        return size(w) == F.length(w)
+
     def word(w: Column) -> Column:
-        return F.regexp_replace(F.lower(F.regexp_replace(w, r"[^\p{IsAlphabetic}\p{N}_.\-]", "")), r"^[.\-]+|[.\-]+$", "")
+        kept = F.when(is_ascii(w), F.translate(w, _NO_TAG, "")).otherwise(F.regexp_replace(w, r"[^\p{IsAlphabetic}\p{N}_.\-]", ""))
+        return F.btrim(F.lower(kept), F.lit(".-"))
+
+    def is_number(t: Column) -> Column:
+        return F.when(is_ascii(t), F.translate(t, "0123456789", "") == "").otherwise(t.rlike(r"^\p{N}+$"))
 
     def tags(ws: Column) -> Column:
         trimmed = F.transform(F.filter(ws, is_path), lambda w: F.btrim(w, F.lit(TAG_TRIM)))
         paths = F.slice(F.array_distinct(F.filter(trimmed, lambda w: size(w) > MIN_TOKEN_BYTES)), 1, MAX_TAGS)
-        words_ = F.filter(F.transform(F.filter(ws, lambda w: ~is_path(w)), word), lambda t: (size(t) >= MIN_TOKEN_BYTES) & ~t.rlike(r"^\p{N}+$") & ~t.isin(STOPWORDS))
+        words_ = F.filter(F.transform(F.filter(ws, lambda w: ~is_path(w)), word), lambda t: (size(t) >= MIN_TOKEN_BYTES) & ~is_number(t) & ~t.isin(STOPWORDS))
         return F.array_join(F.slice(F.concat(paths, F.array_except(_by_frequency(words_), paths)), 1, MAX_TAGS), " ")
 
     return _let(parts, tags)

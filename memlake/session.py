@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -44,6 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/memlake-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: it is computed once, and lineage ends here."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(name: str = "memlake", cores: str = "*", **conf: str) -> SparkSession:
     """A local session with the settings that the library expects (UTC, adaptive execution)."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
