@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches, ids, longs, partitions_for, shared_dir
+from .prefixes import Recurrence
 from .words import LOWER, SPACED, Words, buffers, chunks
 
 #: Entries of a word table; beyond, it starts anew. About 40 bytes each.
 TABLE_WORDS = 1_500_000
-#: Prefix counts inside words of more bytes than this are not stored (see prefix_counts).
-PREFIX_BYTES = 256
-#: Marks a byte that ends no stored prefix.
-NO_PREFIX = np.uint16(65535)
+#: Words up to so many bytes have their prefixes encoded by the library, which shares them between words; longer ones are counted by a recurrence.
+PREFIX_BYTES = 64
+#: Marks a byte that ends no character.
+NO_PREFIX = np.uint32((1 << 32) - 1)
 
 _ENDING = np.isin(np.arange(256), list(b",.;:!?"))
 _LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
@@ -59,7 +60,7 @@ class WordTable:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.prefixes = prefixes
+        self.path, self.prefixes, self.recurrence = path, prefixes, None
         self.clear()
 
     @classmethod
@@ -76,7 +77,7 @@ class WordTable:
         self.at = np.zeros(0, np.int64)
         self.prefix_at = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
-        self.prefix_flat = np.zeros(0, np.uint16)
+        self.prefix_flat = np.zeros(0, np.uint32)
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         out: list = [None] * len(words)
@@ -93,8 +94,9 @@ class WordTable:
     def _prefix_counts(self, words: list[bytes], counts: list[int]) -> list[np.ndarray]:
         known: dict[bytes, int] = dict(zip(words, counts, strict=True))
         asked: dict[bytes, None] = {}
+        long = {w: p for w in words if len(w) > PREFIX_BYTES and (p := self._long_prefixes(w)) is not None}
         for w in words:
-            if len(w) <= PREFIX_BYTES:
+            if w not in long:
                 for i in range(1, len(w)):
                     if (w[i] & 0xC0) != 0x80 and w[:i] not in known:
                         asked[w[:i]] = None
@@ -103,12 +105,22 @@ class WordTable:
         out = []
         for w, n in zip(words, counts, strict=True):
             p = np.full(len(w), NO_PREFIX)
-            if len(w) <= PREFIX_BYTES:
+            if w in long:
+                p[[i - 1 for i in range(1, len(w) + 1) if i == len(w) or (w[i] & 0xC0) != 0x80]] = long[w]
+            else:
                 p[:-1] = [known[w[:i]] if (w[i] & 0xC0) != 0x80 else NO_PREFIX for i in range(1, len(w))]
-            p[-1] = min(n, int(NO_PREFIX) - 1)
+            p[-1] = n
             out.append(p)
         return out
 
+    def _long_prefixes(self, word: bytes) -> list[int] | None:
+        if self.recurrence is None:
+            self.recurrence = Recurrence(self.path, self.tokenizer)
+        try:
+            return self.recurrence.word(word.decode())
+        except UnicodeDecodeError:
+            return None
+
     def rows_of(self, w: Words) -> np.ndarray:
         """The table row of each word; new words are encoded first."""
         u, first, back = np.unique(w.h[0], return_index=True, return_inverse=True)
@@ -159,35 +171,37 @@ def encoded(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.n
         yield i, np.concatenate(([0], np.cumsum(n)))[w.bounds], flat
 
 
-def prefix_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prefix_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", budgets: tuple[int, ...] = ()) -> DataFrame:
     """Token counts of whole texts, and the longest prefix that fits `limit` tokens.
 
     A prefix table is filled by dynamic programming: the count at a prefix is the
     count at the last word's start plus the stored count of that word's prefix.
     It holds the exact count at every character prefix of the text, so the length
     asked for (`fit_bytes`, which takes in white space after it) is read from it
-    and nothing is encoded again. Inside one word of over PREFIX_BYTES bytes only
-    its end is stored, and `fit_bytes` is the longest stored prefix that fits.
+    and nothing is encoded again, nor for each of `budgets`, whose longest prefixes
+    are the array `budget_bytes`.
 
-    Rows: id, n_bytes, n_tokens, over_limit, fit_bytes; one per input row. Null or
+    Rows: id, n_bytes, n_tokens, over_limit, fit_bytes, and budget_bytes if budgets
+    are given; one per input row, equal rows giving equal results. Null or
     empty text has 0 bytes and tokens; a null id stays null; other columns of the
     input are not read; an empty table gives an empty result.
     """
-    schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fit_bytes", pa.int64())])
+    schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fit_bytes", pa.int64()), *([("budget_bytes", pa.list_(pa.int64()))] if budgets else [])])
 
     def count(it):
         table = WordTable.get(path, True)
         for b in it:
             key = ids(b.column(0))
             for i, j, buf, offsets in chunks(*buffers(b.column(1))):
-                total, fit = prefix_table(table, buf, offsets, limit)[1:]
-                yield from batches([longs(key[i:j]), np.diff(offsets), total, total > limit, fit], schema)
+                at, w, total = prefix_table(table, buf, offsets)
+                more = [pa.array(list(np.stack([fitting(at, w, total, k) for k in budgets], 1)), schema.field(5).type)] if budgets else []
+                yield from batches([longs(key[i:j]), np.diff(offsets), total, total > limit, fitting(at, w, total, limit), *more], schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(count, f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(count, f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long" + (", budget_bytes array<long>" if budgets else ""))
 
 
-def prefix_table(table: WordTable, buf: np.ndarray, offsets: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts at the prefix that ends with each byte (-1: none stored there), whole counts, bytes that fit the limit."""
+def prefix_table(table: WordTable, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Words, np.ndarray]:
+    """Counts at the prefix that ends with each byte (-1: in white space or a character), the words, whole counts."""
     w = split_words(buf, offsets)
     rows = table.rows_of(w)
     n = table.counts[rows].astype(np.int64)
@@ -198,7 +212,12 @@ def prefix_table(table: WordTable, buf: np.ndarray, offsets: np.ndarray, limit:
     inner = table.prefix_flat[spread(table.prefix_at[rows], size)]
     at = np.full(len(buf), -1, np.int64)
     at[w.inside] = np.where(inner == NO_PREFIX, -1, np.repeat(base, size) + inner)
-    at[w.ends - 1] = base + n  # also where a word has more tokens than its stored prefixes can say
+    return at, w, total
+
+
+def fitting(at: np.ndarray, w: Words, total: np.ndarray, limit: int) -> np.ndarray:
+    """Bytes of each document's longest prefix of up to `limit` tokens, read from a prefix table."""
+    buf, offsets = w.buf, w.offsets
     ok = np.flatnonzero((at >= 0) & (at <= limit))
     k = np.searchsorted(ok, offsets[1:]) - 1
     last = np.where(k >= 0, ok[np.maximum(k, 0)], -1) if len(ok) else np.full(len(total), -1)
@@ -207,7 +226,7 @@ def prefix_table(table: WordTable, buf: np.ndarray, offsets: np.ndarray, limit:
         following = np.append(w.starts, len(buf))[np.searchsorted(w.starts, fit)]
         between = (fit < offsets[1:]) & ~w.inside[np.minimum(fit, len(buf) - 1)]
         fit = np.where(between, np.minimum(following, offsets[1:]), fit)
-    return at, total, np.where(total <= limit, np.diff(offsets), fit - offsets[:-1])
+    return np.where(total <= limit, np.diff(offsets), fit - offsets[:-1])
 
 
 def token_rows(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

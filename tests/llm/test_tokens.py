@@ -29,8 +29,7 @@ def test_fit_is_within_the_limit(docs, tokenizer_path, library):
     texts = dict(ROWS)
     for r in tokens.prefix_counts(docs, tokenizer_path, 50).collect():
         if r.over_limit:
-            # Inside a word of over PREFIX_BYTES bytes no prefix is stored.
-            assert (0 if r.doc_id == 10 else 45) <= len(library(texts[r.doc_id].encode()[: r.fit_bytes].decode())) <= 50
+            assert 45 <= len(library(texts[r.doc_id].encode()[: r.fit_bytes].decode())) <= 50
         else:
             assert r.fit_bytes == r.n_bytes
 
@@ -45,7 +44,7 @@ def test_every_prefix(text):
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     t = Tokenizer.from_file(path)
     buf, offsets = buffers(pa.array([text]))
-    at, total, _ = tokens.prefix_table(tokens.WordTable.get(path, True), buf, offsets, 10)
+    at, _, total = tokens.prefix_table(tokens.WordTable.get(path, True), buf, offsets)
     assert total[0] == len(t.encode(text, add_special_tokens=False).ids)
     end = 0
     for i, c in enumerate(text):
@@ -56,6 +55,47 @@ def test_every_prefix(text):
             assert c in " \n\t"
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["the", "ing", "tion", "a", "aa", "aaa", "ab", "z", "'s", "'re", "'", "'ll", "!", "!!", "..", "1", "23", "é", "ß", "日本", "語", "🙂", "THE", "Q", "-", "ana", "nan"]), min_size=20, max_size=60))
+def test_every_prefix_of_long_words(parts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, word = str(public_tokenizers.path("word_bpe_49k.json")), "".join(parts)
+    table, t = tokens.WordTable.get(path, True), Tokenizer.from_file(path)
+    table.recurrence = table.recurrence or tokens.Recurrence(path, table.tokenizer)
+    got = table.recurrence.word(word)
+    assert got == [len(t.encode(word[: i + 1], add_special_tokens=False).ids) for i in range(len(word))]
+
+
+@pytest.mark.parametrize("word", ["q" * 700, "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(700)), "the" * 40_000, "日本語テキスト" * 5_000, "ab1!" * 25_000], ids=["q", "mixed", "the", "cjk", "pieces"])
+def test_long_words_have_counts_at_every_character(tokenizer_path, library, word):
+    import pyarrow as pa
+
+    text = f"before {word} after"
+    buf, offsets = buffers(pa.array([text]))
+    at, w, total = tokens.prefix_table(tokens.WordTable.get(tokenizer_path, True), buf, offsets)
+    assert total[0] == len(library(text))
+    ends = np.cumsum([len(c.encode()) for c in text]) - 1
+    assert all(at[e] >= 0 for e, c in zip(ends.tolist(), text, strict=True) if c != " ")
+    places = range(len(text)) if len(text) < 1000 else np.random.default_rng(1).integers(7, len(text), 25).tolist()
+    for i in places:
+        if text[i] != " ":
+            assert at[ends[i]] == len(library(text[: i + 1]))
+
+
+def test_budgets_are_read_from_the_table(docs, tokenizer_path, library):
+    texts, budgets = dict(ROWS), (0, 1, 7, 50, 333)
+    for r in tokens.prefix_counts(docs, tokenizer_path, 50, budgets=budgets).collect():
+        assert r.budget_bytes[3] == r.fit_bytes
+        raw = (texts[r.doc_id] or "").encode()
+        for budget, size in zip(budgets, r.budget_bytes, strict=True):
+            assert len(library(raw[:size].decode())) <= budget
+            if size < len(raw):
+                longer = raw[:size].decode() + raw[size:].decode()[0]
+                assert len(library(longer)) > budget or r.doc_id in (9, 11)
+
+
 def test_table_starts_anew_when_full(tokenizer_path, library, monkeypatch):
     import pyarrow as pa
 
