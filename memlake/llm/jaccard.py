@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, batches, ids, longs, plan_bytes, staged
 from .components import components
-from .words import SPACED, Words, buffers, chunks, mix
+from .words import SPACED, Words, buffers, chunks, mix, release
 
 #: Words of a shingle, and the similarity as a fraction.
 SHINGLE, SIMILAR = 5, (75, 100)
@@ -40,8 +40,12 @@ FEW = 24
 ROUNDS = 2
 #: Partners that a member meets in each of those rounds.
 PARTNERS = 6
-#: Bytes of input for a bucket of prefixes, and ids up to which a list of them is broadcast.
-BUCKET_BYTES, BROADCAST_IDS = 40 << 20, 1_000_000
+#: Bytes of text whose prefixes are posted together.
+POSTED_TOGETHER = 3 << 20
+#: Bytes of input for a bucket of prefixes and for a part of what they lead to, and ids up to which a list of them is broadcast.
+POSTED_BYTES, BUCKET_BYTES, BROADCAST_IDS = 20 << 20, 40 << 20, 1_000_000
+#: A class of at least this share of all documents is joined by broadcasting; there are no more of them than that.
+HOT_CLASSES = 256
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -286,14 +290,15 @@ def _candidates(payloads: list[bytes]):
 
 def candidates(docs: DataFrame, levels) -> DataFrame:
     """Rows a, b (candidate pairs) or list, members (prefix shingles of many classes)."""
-    buckets = max(12, -(-plan_bytes(docs) // BUCKET_BYTES))
+    buckets = min(1 << 17, max(12, -(-plan_bytes(docs) // POSTED_BYTES)))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("list", pa.int64()), ("members", pa.binary())])
 
     def post(it):
         for b in it:
             key = ids(b.column(0))
-            for i, j, buf, offsets in chunks(*buffers(b.column(1)), 4 << 20):
+            for i, j, buf, offsets in chunks(*buffers(b.column(1)), POSTED_TOGETHER):
                 yield from _post(buf, offsets, key[i:j], levels.value, buckets)
+        release()
 
     def meet(it):
         by: dict[int, list[bytes]] = {}
@@ -306,8 +311,9 @@ def candidates(docs: DataFrame, levels) -> DataFrame:
                 yield from batches([a, b, none.cast(pa.int64()), none.cast(pa.binary())], schema)
                 none = pa.nulls(len(lists), pa.int64())
                 yield from batches([none, none, np.array(list(lists), np.uint64).view(np.int64), pa.array(list(lists.values()), pa.binary())], schema)
+            release()
 
-    posted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(post, _POSTED).repartition(buckets, "bucket")
+    posted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(post, _POSTED).repartitionById(buckets, F.col("bucket"))
     return staged(posted.mapInArrow(meet, _FOUND))
 
 
@@ -353,6 +359,7 @@ def compare(pairs: DataFrame, docs: DataFrame, levels) -> DataFrame:
                     found.append((a, b, both, len(x) + len(y) - both))
             if found:
                 yield from batches([np.array(c) for c in zip(*found, strict=True)], out)
+        release()
 
     return _attached(pairs, docs, lambda h: h.tobytes()).mapInArrow(verify, "a long, b long, inter long, total long")
 
@@ -460,7 +467,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         tried = tried.unionByName(new)
         if not more.isEmpty():
             known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), parts)
-    classes = described.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"))
-    named = classes.join(known, classes["rep"] == known["node"], "left").select("n", "c1", "c2", F.coalesce("component", "rep").alias("_component"))
-    out = described.join(named, ["n", "c1", "c2"], "left")
+    classes = described.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    named = staged(classes.join(known, classes["rep"] == known["node"], "left").select("n", "c1", "c2", "copies", F.coalesce("component", "rep").alias("_component")), parts)
+    key = ["n", "c1", "c2"]
+    # Members of a hot class don't meet in one task.
+    hot = F.broadcast(named.filter(F.col("copies") * HOT_CLASSES > described.count()).drop("copies"))
+    out = described.join(hot, key).unionByName(described.join(hot, key, "left_anti").join(named.drop("copies"), key, "left"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"))

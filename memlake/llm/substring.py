@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, batches, ids, longs, partitions_for, plan_bytes
 from .tokens import spread
-from .words import MASKS, Words, buffers, chunks, cover, mix, window_hash
+from .words import MASKS, Words, buffers, chunks, cover, mix, release, window_hash
 
 #: Words of a window and of a minimiser.
 WINDOW, MINIMISER = 13, 3
@@ -339,11 +339,14 @@ def _count(it, n: int, dests: int):
                 for got in table.settle():
                     yield from _flags(*got, dests, 1)
                 table.clear()
+                release()
                 bucket = k
             for got in table.add(p):
                 yield from _flags(*got, dests, 1)
     for got in table.settle():
         yield from _flags(*got, dests, 1)
+    table.clear()
+    release()
 
 
 def repeated_windows(docs: DataFrame, dests: int, n: int = WINDOW, m: int = MINIMISER) -> DataFrame:

@@ -10,6 +10,7 @@ independent hashes (128 bits).
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
+#: After chunks of so many bytes freed memory is given back.
+RELEASED_BYTES = 1 << 20
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _WINDOW_BASES = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F))
@@ -45,16 +48,16 @@ LOWER[65:91] += 32
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; kept, at least CHUNK_BYTES long."""
+    """base**i and base**-i modulo 2**64 for i < n; kept up to a bound."""
     key = (base, 0)
     if key not in _powers or len(_powers[key][0]) < n:
-        size = max(n, CHUNK_BYTES + 1024)
+        size = max(n, 1 << max(16, n.bit_length()) if n <= CHUNK_BYTES else 0)
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, np.uint64(b))
             a[0] = 1
             out.append(np.cumprod(a, dtype=np.uint64))
-        if n > CHUNK_BYTES * 2:
+        if n > CHUNK_BYTES:
             return out[0], out[1]
         _powers[key] = (out[0], out[1])
     return _powers[key]
@@ -164,10 +167,25 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[at[0] : at[-1]], at - at[0]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers are many and live long."""
+    if _trim is not None:
+        _trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(buf: np.ndarray, offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first document, end document, bytes, offsets) of chunks of about `most` bytes."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, j, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if offsets[j] - offsets[i] >= RELEASED_BYTES:
+            release()
         i = j
