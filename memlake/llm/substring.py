@@ -36,9 +36,9 @@ WINDOW, MINIMISER = 13, 3
 #: Bytes of packed strings in a bucket, most partitions of them, and new windows that are sorted at once.
 BUCKET_BYTES, MOST_PARTITIONS, SORTED_WINDOWS = 20 << 20, 1 << 17, 800_000
 #: Windows that a task remembers as sent, and bytes of packed strings that are split into words at once.
-SENT_WINDOWS, SPLIT_TOGETHER = 1_000_000, 1 << 20
+SENT_WINDOWS, SPLIT_TOGETHER = 600_000, 1 << 20
 #: Bytes of text a task packs together.
-PACKED_TOGETHER = 4 << 20
+PACKED_TOGETHER = 5 << 19
 #: Effort of compression: what is sent is about half of all that the disks hold meanwhile.
 PACKED_LEVEL = 9
 
