@@ -29,7 +29,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(table(spark, sf_dir, "documents"), 40)
+    return sharding.shards(table(spark, sf_dir, "documents"), tokenizer_path(), 40)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,16 @@ def encoded(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.n
         yield i, np.concatenate(([0], np.cumsum(n)))[w.bounds], flat
 
 
+def lengths(column: pa.Array, path: str) -> Iterator[np.ndarray]:
+    """Token counts of chunks of a text column, one after the other; null is empty."""
+    table = WordTable.get(path)
+    for _, _, buf, offsets in chunks(*buffers(column)):
+        w = split_words(buf, offsets)
+        rows = table.rows_of(w)
+        cum = np.concatenate(([0], np.cumsum(table.counts[rows], dtype=np.int64)))
+        yield cum[w.bounds[1:]] - cum[w.bounds[:-1]]
+
+
 def prefix_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", budgets: tuple[int, ...] = ()) -> DataFrame:
     """Token counts of whole texts, and the longest prefix that fits `limit` tokens.
 

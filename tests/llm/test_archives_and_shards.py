@@ -6,9 +6,11 @@ import zipfile
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from memlake.llm import chat, sharding, warc
 
@@ -125,14 +127,14 @@ def check_shards(rows, source, n):
         assert sorted(s) == list(range(len(s)))
 
 
-def test_shards(spark, docs, no_docs):
-    check_shards(sharding.shards(docs, 4).collect(), ROWS, 4)
-    assert sharding.shards(no_docs, 4).count() == 0
+def test_shards(docs, no_docs, tokenizer_path):
+    check_shards(sharding.shards(docs, tokenizer_path, 4).collect(), ROWS, 4)
+    assert sharding.shards(no_docs, tokenizer_path, 4).count() == 0
 
 
-def test_shards_are_even_and_split_hot_groups(spark):
+def test_shards_are_even_and_split_hot_groups(spark, tokenizer_path):
     source = [(i, "copy of one text " * 20 if i % 3 == 0 else f"text {i} " * (1 + i % 37)) for i in range(6000)]
-    rows = sharding.shards(spark.createDataFrame(source, "doc_id long, text string"), 8).collect()
+    rows = sharding.shards(spark.createDataFrame(source, "doc_id long, text string"), tokenizer_path, 8).collect()
     check_shards(rows, source, 8)
     sizes = Counter()
     for r in rows:
@@ -141,17 +143,17 @@ def test_shards_are_even_and_split_hot_groups(spark):
     # Small groups stay whole.
     pairs = [(i, f"pair {i // 2} " * 9) for i in range(4000)]
     where = defaultdict(set)
-    for r in sharding.shards(spark.createDataFrame(pairs, "doc_id long, text string"), 8).collect():
+    for r in sharding.shards(spark.createDataFrame(pairs, "doc_id long, text string"), tokenizer_path, 8).collect():
         where[r.doc_id // 2].add(r.shard)
     assert all(len(s) == 1 for s in where.values())
 
 
-def test_groups_that_fit_a_shard_stay_whole(spark):
+def test_groups_that_fit_a_shard_stay_whole(spark, tokenizer_path):
     hot, half, pair = "hot copy " * 20, "copy of half a shard " * 12, "one very long text " * 900
     source = [(i, hot) for i in range(1500)] + [(10_000 + i, half) for i in range(70)] + [(20_000 + i, pair) for i in range(2)]
     source += [(30_000 + i, f"text {i} " * (1 + i % 37)) for i in range(2500)]
     df, n = spark.createDataFrame(source, "doc_id long, text string"), 16
-    rows = sharding.shards(df, n).collect()
+    rows = sharding.shards(df, tokenizer_path, n).collect()
     check_shards(rows, source, n)
     sizes, where, total = Counter(), defaultdict(set), sum(r.size for r in rows)
     for r in rows:
@@ -163,3 +165,38 @@ def test_groups_that_fit_a_shard_stay_whole(spark):
     assert len(where[crc[hot]]) > 1 and len(where[crc[half]]) == len(where[crc[pair]]) == 1
     assert len(sizes) == n and max(sizes.values()) <= 1.02 * min(sizes.values())
     assert [(r.text_md5, r.size) for r in sharding.cut_groups(df, n).collect()] == [(hashlib.md5(hot.encode()).hexdigest(), group[hot])]
+
+
+def spread_of(loads):
+    return (loads.max(axis=0) - loads.min(axis=0)) / loads.mean(axis=0)
+
+
+def test_shards_balance_bytes_tokens_and_rows(spark, tokenizer_path):
+    # Few long texts of cheap words, many short ones of words that cost many tokens each.
+    source = [(i, f"the end of day {i} " * 40) for i in range(400)] + [(10_000 + i, f"zqxj{i}vwkq " * (1 + i % 5)) for i in range(3200)]
+    rows = sharding.shards(spark.createDataFrame(source, "doc_id long, text string"), tokenizer_path, 8).collect()
+    check_shards(rows, source, 8)
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    want = {d: len(tokenizer.encode(t, add_special_tokens=False).ids) for d, t in source}
+    assert {r.doc_id: r.n_tokens for r in rows} == want
+    loads = np.zeros((8, 3))
+    np.add.at(loads, [r.shard for r in rows], [(r.size, r.n_tokens, 1) for r in rows])
+    assert (spread_of(loads) <= 0.01).all()
+
+
+def test_refinement_lowers_deviations_and_keeps_items():
+    rng = np.random.default_rng(3)
+    sizes = rng.pareto(2, (600, 3)) + 0.1
+    first = sharding.place(sizes, 10)
+    where = sharding.refine(sizes, first, 10, sharding.WEIGHTS)
+
+    def squares(at):
+        loads = np.zeros((10, 3))
+        np.add.at(loads, at, sizes)
+        return (((loads / loads.mean(axis=0) - 1) ** 2) * sharding.WEIGHTS).sum()
+
+    assert len(where) == 600 and where.min() >= 0 and where.max() < 10
+    assert squares(where) <= squares(first) and squares(where) < 1e-3
+    for none in (np.zeros((0, 3)), np.zeros((5, 3))):
+        assert len(sharding.refine(none, sharding.place(none, 4), 4, sharding.WEIGHTS)) == len(none)
+    assert (sharding.refine(sizes, sharding.place(sizes, 1), 1, sharding.WEIGHTS) == 0).all()
