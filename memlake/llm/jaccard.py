@@ -4,8 +4,9 @@ Two sets of similarity t share at least t of the larger one, so under any one
 order of all shingles their prefixes (the first n - ceil(t n) + 1) have a
 shingle in common. Three orders are used, all rare shingles first (by a sketch
 of document frequencies of fixed size), each with its own order among equally
-rare ones. Prefixes under the first order make candidates; a candidate pair
-must share a shingle under the others too before its sets are compared exactly.
+rare ones. Prefixes under the first order make candidates; these are intersected
+with the other orders by hashes of their prefixes alone, and only for the pairs
+that are left do whole sets travel, to be compared exactly.
 
 Equal sets are one class, known by its smallest document. A shingle in the
 prefixes of few classes makes all their pairs; one in many makes a star around a
@@ -341,19 +342,51 @@ def _attached(pairs: DataFrame, docs: DataFrame, make) -> DataFrame:
     return both.join(held.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
 
 
+def marks(h: np.ndarray, levels: np.ndarray) -> bytes:
+    """32-bit hashes of a set's prefixes under the orders after the first: the size of the second order's, then both, ascending."""
+    two = [np.unique(mix(prefix(h, levels, k)).astype(np.uint32)) for k in (1, 2)]
+    return np.concatenate(([np.uint32(len(two[0]))], *two)).astype(np.uint32).tobytes()
+
+
+def _meet(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ascending arrays share a value."""
+    if not len(a) or not len(b):
+        return False
+    return bool((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).any())
+
+
+def every_order(pairs: DataFrame, docs: DataFrame, levels, parts: int) -> DataFrame:
+    """Of the first order's candidate pairs those that share prefix shingles under the other orders too.
+
+    Only hashes of those prefixes travel: about an eighth of a set's bytes for each
+    order. Equal hashes of different shingles let a pair through, never the reverse.
+    """
+
+    def through(it):
+        for batch in it:
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            keep = np.zeros(len(a), bool)
+            for i, (raw_a, raw_b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(raw_a.as_buffer(), np.uint32), np.frombuffer(raw_b.as_buffer(), np.uint32)
+                m, k = 1 + int(x[0]), 1 + int(y[0])
+                keep[i] = _meet(x[1:m], y[1:k]) and _meet(x[m:], y[k:])
+            yield from batches([a[keep], b[keep]], _PAIRS)
+        release()
+
+    met = _attached(pairs, docs, lambda h: marks(h, levels.value)).mapInArrow(through, "a long, b long")
+    return staged(met.distinct(), parts)
+
+
 def compare(pairs: DataFrame, docs: DataFrame, levels) -> DataFrame:
     """a, b, inter, total: exact sizes of intersection and union of the pairs that every order lets through."""
     out = pa.schema([(x, pa.int64()) for x in ("a", "b", "inter", "total")])
 
     def verify(it):
-        last, size_x, ordered = None, 0, []
         for batch in it:
             found = []
             for a, b, raw_a, raw_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(raw_a.as_buffer(), np.uint64), np.frombuffer(raw_b.as_buffer(), np.uint64)
-                if a != last or len(x) != size_x:
-                    last, size_x, ordered = a, len(x), [prefix(x, levels.value, k) for k in (1, 2)]
-                if len(x) and len(y) and all(np.isin(prefix(y, levels.value, k), o).any() for k, o in zip((1, 2), ordered, strict=True)):
+                if len(x) and len(y):
                     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                     both = int((x[at] == y).sum())
                     found.append((a, b, both, len(x) + len(y) - both))
@@ -361,7 +394,8 @@ def compare(pairs: DataFrame, docs: DataFrame, levels) -> DataFrame:
                 yield from batches([np.array(c) for c in zip(*found, strict=True)], out)
         release()
 
-    return _attached(pairs, docs, lambda h: h.tobytes()).mapInArrow(verify, "a long, b long, inter long, total long")
+    met = every_order(pairs, docs, levels, max(12, -(-plan_bytes(docs) // BUCKET_BYTES)))
+    return _attached(met, docs, lambda h: h.tobytes()).mapInArrow(verify, "a long, b long, inter long, total long")
 
 
 def _members(lists: DataFrame) -> DataFrame:

@@ -360,3 +360,25 @@ def test_method_rejects_long_repeats(spark):
     df = spark.createDataFrame([(1, f"{block} {other}"), (2, f"{block} {other} {block} {' '.join(f'p{i}' for i in range(120))}")], "doc_id long, text string")
     limits = quality.Limits(max_longest=100)
     assert {r.doc_id: (r.kept, r.longest_repeat) for r in quality.quality(df, limits).collect()} == {1: (True, 0), 2: (False, 120)}
+
+
+def test_orders_after_the_first_let_every_similar_pair_through():
+    rng = np.random.default_rng(11)
+    levels = rng.integers(0, 16, 1 << 10).astype(np.uint8)
+    passed = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        base = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        common = int(rng.integers(0, n + 1))
+        a, b = np.unique(base[:n]), np.unique(np.concatenate((base[:common], base[n : 2 * n - common])))
+        raw = [np.frombuffer(jaccard.marks(x, levels), np.uint32) for x in (a, b)]
+        sizes = [1 + int(x[0]) for x in raw]
+        met = [bool(np.intersect1d(x, y).size) for x, y in ((raw[0][1 : sizes[0]], raw[1][1 : sizes[1]]), (raw[0][sizes[0] :], raw[1][sizes[1] :]))]
+        assert met == [jaccard._meet(raw[0][1 : sizes[0]], raw[1][1 : sizes[1]]), jaccard._meet(raw[0][sizes[0] :], raw[1][sizes[1] :])]
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            assert all(met)
+        else:
+            passed += all(met)
+    assert passed < 200
+    assert jaccard.marks(np.zeros(0, np.uint64), levels) == np.zeros(1, np.uint32).tobytes()
