@@ -167,13 +167,15 @@ class _Sent:
         if len(self.h1) + len(h1) > SENT_WINDOWS:
             self._only(self.met if self.met.sum() + len(h1) <= SENT_WINDOWS else np.zeros(len(self.met), bool))
             h1, h2, doc = h1[:SENT_WINDOWS], h2[:SENT_WINDOWS], doc[:SENT_WINDOWS]
-        h1, h2, doc = np.concatenate((self.h1, h1)), np.concatenate((self.h2, h2)), np.concatenate((self.doc, doc))
-        met = np.append(self.met, np.zeros(len(h1) - len(self.met), bool))
-        order = np.lexsort((doc, h1))
-        self.h1, self.h2, self.doc, self.met = h1[order], h2[order], doc[order], met[order]
-        first = np.ones(len(h1), bool)
+        # One array after the other, as this is a task's largest moment.
+        self.h1, self.doc = np.concatenate((self.h1, h1)), np.concatenate((self.doc, doc))
+        order = np.lexsort((self.doc, self.h1))
+        self.h1, first = self.h1[order], np.ones(len(order), bool)
         first[1:] = self.h1[1:] != self.h1[:-1]
-        self._only(first)
+        self.h1, order = self.h1[first], order[first]
+        self.doc = self.doc[order]
+        self.h2 = np.concatenate((self.h2, h2))[order]
+        self.met = np.append(self.met, np.zeros(len(h1), bool))[order]
 
     def _only(self, some: np.ndarray) -> None:
         self.h1, self.h2, self.doc, self.met = self.h1[some], self.h2[some], self.doc[some], self.met[some]
@@ -198,8 +200,11 @@ def _pack(buf: np.ndarray, offsets: np.ndarray, key: np.ndarray, row: np.ndarray
     sent = np.flatnonzero(~(flagged | again))
     if not len(sent):
         return
-    known.add(h1[sent], h2[sent], key[docs[sent]])
-    f, least, docs = first[sent], least[sent], docs[sent]
+    f, least, docs, h1, h2 = first[sent], least[sent], docs[sent], h1[sent], h2[sent]
+    del first, flagged, again, told, words, sent
+    w.h = []
+    known.add(h1, h2, key[docs])
+    del h1, h2
     new = np.ones(len(f), bool)
     new[1:] = (least[1:] != least[:-1]) | (f[1:] != f[:-1] + 1) | (docs[1:] != docs[:-1])
     at = np.flatnonzero(new)
@@ -210,11 +215,11 @@ def _pack(buf: np.ndarray, offsets: np.ndarray, key: np.ndarray, row: np.ndarray
     docs, pos, bucket = docs[at][order], (f[at] - w.bounds[docs[at]])[order].astype(np.int32), bucket[order]
     sizes = (ends - starts).astype(np.int32)
     raw = plain.tobytes()
-    strings = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
     out = []
     for x, y in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-        out.append(_squeeze(b"".join(strings[x:y]), sizes[x:y].tobytes(), key[docs[x:y]].tobytes(), row[docs[x:y]].tobytes(), pos[x:y].tobytes(), level=PACKED_LEVEL))
+        strings = [raw[a:b] for a, b in zip(starts[x:y].tolist(), ends[x:y].tolist(), strict=True)]
+        out.append(_squeeze(b"".join(strings), sizes[x:y].tobytes(), key[docs[x:y]].tobytes(), row[docs[x:y]].tobytes(), pos[x:y].tobytes(), level=PACKED_LEVEL))
     yield from batches([bucket[cuts[:-1]].astype(np.int32), pa.nulls(len(out), pa.int32()), pa.array(out, pa.binary())], _ROWS)
 
 
@@ -361,6 +366,8 @@ def repeated_windows(docs: DataFrame, dests: int, n: int = WINDOW, m: int = MINI
             key, row = ids(b.column(0)), ids(b.column(2))
             for i, j, buf, offsets in chunks(*buffers(b.column(1)), PACKED_TOGETHER):
                 yield from _pack(buf, offsets, key[i:j], row[i:j], n, m, buckets, dests, known)
+        del known
+        release()
 
     # A partition is a bucket, or a run of buckets one after the other.
     packed = rows.mapInArrow(pack, _ROW_COLUMNS).repartitionById(-(-buckets // each), (F.col("bucket") / each).cast("int")).sortWithinPartitions("bucket")
