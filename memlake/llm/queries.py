@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, decontaminate, jaccard, packing, quality, sharding, substring, tokens, warc
+from . import chat, decontaminate, jaccard, packing, quality, sharding, substring, tokens, trie, warc
 
 #: The tokenizer's file in the public collection; its place is asked of that package.
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda p: int(p[0][2:].split("_")[0])))
@@ -82,6 +86,9 @@ def _again(n: str) -> str:
     return f"SELECT doc_id, i FROM (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + {n} - 1), ' ')) AS g FROM s, LATERAL (SELECT unnest(range(1, n_words - {n} + 2)) AS i)) QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1"
 
 
+#: CRC-32 of a decimal number, bit by bit: a byte is taken in, then eight times a bit is shifted out.
+_CRC32 = "xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(CAST({0} AS VARCHAR)) + 1), lambda i: [CAST(ord(substring(CAST({0} AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+
 ORACLES = {
     "op4_warc_archives": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
@@ -142,6 +149,22 @@ ORACLES = {
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op13_prefix_trie": f"""
+        WITH o AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+        c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32.format("conv_id")} % 6 AS h, n FROM (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id)),
+        s AS MATERIALIZED (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS shared, least(c.h, coalesce(b.n, 0)) + greatest(c.n - c.h, 0) AS size FROM c LEFT JOIN c b ON b.conv_id = c.base),
+        r AS (SELECT s.conv_id, o.p AS d, role, text, size FROM s JOIN o ON o.conv_id = s.base AND o.p <= s.shared
+              UNION ALL SELECT s.conv_id, s.shared + o.p - s.h, role, text, size FROM s JOIN o ON o.conv_id = s.conv_id AND o.p > s.h),
+        w AS MATERIALIZED (SELECT conv_id, d, size, length(text) AS chars, md5(CAST(list([role, text]) OVER (PARTITION BY conv_id ORDER BY d) AS VARCHAR)) AS k FROM r
+                           UNION ALL SELECT conv_id, 0, size, 0, '' FROM s),
+        nodes AS MATERIALIZED (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, string_agg(CASE WHEN d = size THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM w GROUP BY d, k),
+        up AS (SELECT n.d, n.k, a.k AS above FROM nodes n JOIN w a ON a.conv_id = n.conv_id AND a.d = n.d - 1),
+        kids AS (SELECT d - 1 AS d, above AS k, count(*) AS n FROM up GROUP BY ALL),
+        leaf AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, k)),
+        roll AS (SELECT a.d, a.k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum((n_convs - 1) * leaf.chars) AS saved FROM leaf JOIN w a ON a.conv_id = leaf.conv_id AND a.d <= leaf.d GROUP BY a.d, a.k)
+        SELECT leaf.conv_id, CAST(leaf.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(leaf.n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+               CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(leaf.ends, '')) AS ends_sha256
+        FROM leaf JOIN roll USING (d, k) LEFT JOIN up USING (d, k) LEFT JOIN nodes p ON p.d = leaf.d - 1 AND p.k = up.above""",
 }
 
 
