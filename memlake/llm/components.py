@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -42,3 +42,32 @@ def components(links: DataFrame, parts: int | None = None) -> DataFrame:
         edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), parts)
     found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+
+
+#: A class of at least this share of all documents is joined by broadcasting; there are no more of them than that.
+HOT_CLASSES = 256
+
+
+def labelled(described: DataFrame, key: list[str], links: DataFrame, linked: Column | None = None, parts: int | None = None) -> DataFrame:
+    """described (doc_id and a class's columns `key`) with component_id, the smallest doc_id that links lead to.
+
+    Rows of equal key are a class, known by its smallest doc_id; links a, b are between
+    those (or components found before: a node, its component). An id that has rows in several
+    classes joins them. Classes outside `linked` link nothing, so their rows are components
+    of their own. Rows without doc_id get no component and join nothing.
+    """
+    linked = F.lit(True) if linked is None else linked
+    named = described.filter(linked & F.col("doc_id").isNotNull())
+    classes = staged(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), parts)
+    one = F.xxhash64(*key)
+    several = staged(named.groupBy("doc_id").agg(F.min(one).alias("least"), F.max(one).alias("most")).filter("least <> most").select("doc_id"), parts)
+    if not several.isEmpty():
+        own = named.join(several, "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes, key)
+        links = links.select("a", "b").unionByName(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    known = components(links, parts)
+    found = staged(classes.join(known, classes["rep"] == known["node"], "left").select(*key, "copies", F.coalesce("component", "rep").alias("_component")), parts)
+    # Members of a hot class don't meet in one task.
+    hot = F.broadcast(found.filter(F.col("copies") * HOT_CLASSES > described.count()).drop("copies"))
+    out = described.join(hot, key).unionByName(described.join(hot, key, "left_anti").join(found.drop("copies"), key, "left"))
+    component = F.when(F.col("doc_id").isNotNull(), F.when(linked, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id")))
+    return out.select(*described.columns, component.alias("component_id"))
