@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Stands for a null id inside the kernels; it sorts after every other id.
 NULL_ID = np.iinfo(np.int64).max
@@ -45,6 +46,11 @@ def staged(df: DataFrame, parts: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever it holds: dots and backticks too."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def map_rows(df: DataFrame, f: Callable, schema) -> DataFrame:
     """df.mapInArrow(f, schema) for columns of any names, which f finds in its record batches."""
     names = df.columns

@@ -48,12 +48,11 @@ def components(links: DataFrame, parts: int | None = None) -> DataFrame:
 HOT_CLASSES = 256
 
 
-def labelled(described: DataFrame, key: list[str], links: DataFrame, linked: Column | None = None, parts: int | None = None) -> DataFrame:
+def labelled(described: DataFrame, key: list[str], known: DataFrame, linked: Column | None = None, parts: int | None = None) -> DataFrame:
     """described (doc_id and a class's columns `key`) with component_id, the smallest doc_id that links lead to.
 
-    Rows of equal key are a class, known by its smallest doc_id; links a, b are between
-    those (or components found before: a node, its component). An id that has rows in several
-    classes joins them. Classes outside `linked` link nothing, so their rows are components
+    Rows of equal key are a class, known by its smallest doc_id, and known is components() of
+    links between those. An id that has rows in several classes joins them, with all their components. Classes outside `linked` link nothing, so their rows are components
     of their own. Rows without doc_id get no component and join nothing.
     """
     linked = F.lit(True) if linked is None else linked
@@ -63,8 +62,7 @@ def labelled(described: DataFrame, key: list[str], links: DataFrame, linked: Col
     several = staged(named.groupBy("doc_id").agg(F.min(one).alias("least"), F.max(one).alias("most")).filter("least <> most").select("doc_id"), parts)
     if not several.isEmpty():
         own = named.join(several, "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes, key)
-        links = links.select("a", "b").unionByName(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    known = components(links, parts)
+        known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), parts)
     found = staged(classes.join(known, classes["rep"] == known["node"], "left").select(*key, "copies", F.coalesce("component", "rep").alias("_component")), parts)
     # Members of a hot class don't meet in one task.
     hot = F.broadcast(found.filter(F.col("copies") * HOT_CLASSES > described.count()).drop("copies"))

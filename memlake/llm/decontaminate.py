@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, ids, longs, map_rows, staged
+from .common import batches, ids, longs, map_rows, quoted, staged
 from .words import ALNUM, Words, buffers, chunks, cover
 
 #: Words of a window, and the most bytes of benchmark text in one broadcast index; more text takes more scans, one after the other.
@@ -192,7 +192,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove
 
         return map_rows(docs, clean, schema)
 
-    numbered = staged(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("key")))
+    numbered = staged(docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("key")))
     hits = _scan_all(numbered.select("key", F.col("doc")["text"].alias("text")), blocks, items, n).filter(F.exists("hits", lambda h: F.octet_length(h) > 0)).select("key", "hits")
 
     def cut(it):

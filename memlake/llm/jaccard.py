@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, batches, ids, longs, plan_bytes, staged
-from .components import components
+from .components import components, labelled
 from .words import SPACED, Words, buffers, chunks, mix, release
 
 #: Words of a shingle, and the similarity as a fraction.
@@ -45,8 +45,6 @@ PARTNERS = 6
 POSTED_TOGETHER = 3 << 20
 #: Bytes of input for a bucket of prefixes and for a part of what they lead to, and ids up to which a list of them is broadcast.
 POSTED_BYTES, BUCKET_BYTES, BROADCAST_IDS = 20 << 20, 40 << 20, 1_000_000
-#: A class of at least this share of all documents is joined by broadcasting; there are no more of them than that.
-HOT_CLASSES = 256
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -501,10 +499,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         tried = tried.unionByName(new)
         if not more.isEmpty():
             known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), parts)
-    classes = described.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    named = staged(classes.join(known, classes["rep"] == known["node"], "left").select("n", "c1", "c2", "copies", F.coalesce("component", "rep").alias("_component")), parts)
-    key = ["n", "c1", "c2"]
-    # Members of a hot class don't meet in one task.
-    hot = F.broadcast(named.filter(F.col("copies") * HOT_CLASSES > described.count()).drop("copies"))
-    out = described.join(hot, key).unionByName(described.join(hot, key, "left_anti").join(named.drop("copies"), key, "left"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"))
+    out = labelled(described, ["n", "c1", "c2"], known, F.col("n") > 0, parts)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")

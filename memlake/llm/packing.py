@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import batches, ids, longs, staged
+from .common import batches, ids, longs, quoted, staged
 from .tokens import encoded
 
 log = logging.getLogger(__name__)
@@ -292,7 +292,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     layout = Layout(plan(histogram, capacity)) if histogram else None
     salts = max(16, sum(histogram.values()) // 500_000)
-    key = pieces.select(F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("row"), F.col("length").cast("long").alias("length"), "doc_id", "piece", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("salt"))
+    key = pieces.select(F.struct(*map(quoted, pieces.columns)).alias("row"), F.col("length").cast("long").alias("length"), "doc_id", "piece", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("salt"))
     counts = key.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, ids, longs, plan_bytes, staged
-from .components import labelled
+from .components import components, labelled
 from .substring import spaced
 from .words import LOWER, SPACED, Words, buffers, chunks, release
 
@@ -247,6 +247,5 @@ def near_copies(docs: DataFrame, compared: int = COMPARED) -> DataFrame:
     parts = max(12, -(-plan_bytes(docs) // PART_BYTES))
     rows = staged(described(docs))
     classes = staged(rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), parts)
-    links = staged(close_links(classes, compared), parts)
-    out = labelled(rows, ["fp"], links, parts=parts)
+    out = labelled(rows, ["fp"], components(close_links(classes, compared), parts), parts=parts)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batches, ids, longs, partitions_for, plan_bytes
+from .common import NULL_ID, batches, ids, longs, partitions_for, plan_bytes, quoted
 from .tokens import spread
 from .words import MASKS, Words, buffers, chunks, cover, mix, release, window_hash
 
@@ -435,7 +435,7 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, m: int = MINIMISER, output:
     names, k, key_at = rows.columns, rows.columns.index("text"), rows.columns.index("doc_id")
     c = names.index("n_chars") if "n_chars" in names else None
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID)))
-    keyed = rows.select(_dest(key, dests).alias("_dest"), F.lit(1).alias("_kind"), F.struct(*(F.col(f"`{x}`") for x in names)).alias("_doc"), F.xxhash64("text").alias("_row"))
+    keyed = rows.select(_dest(key, dests).alias("_dest"), F.lit(1).alias("_kind"), F.struct(*map(quoted, names)).alias("_doc"), F.xxhash64("text").alias("_row"))
     flags = repeated_windows(docs, dests, n, m).select(F.col("dest").alias("_dest"), F.lit(0).alias("_kind"), F.col("payload").alias("_flags"))
     # A part's flags come before its documents, each of which is then read once, whole.
     dealt = keyed.unionByName(flags, allowMissingColumns=True).repartition(dests, "_dest").sortWithinPartitions("_dest", "_kind").select("_dest", "_doc", "_row", "_flags")

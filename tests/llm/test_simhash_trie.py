@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from memlake.llm import simhash, trie
-from memlake.llm.components import labelled
+from memlake.llm.components import components, labelled
 
 from .conftest import ROWS
 from .test_text_operators import ascii_lower, near_copies
@@ -80,9 +80,9 @@ def test_links_of_fingerprints(spark, compared):
             prints.add(x - (1 << 64) if x >> 63 else x)
     classes = [(i, f) for i, f in enumerate(sorted(prints))]
     df = spark.createDataFrame(classes, "rep long, fp long")
-    links = simhash.close_links(df, compared)
+    known = components(simhash.close_links(df, compared))
     described = df.select(df.rep.alias("doc_id"), "fp")
-    got = {r.doc_id: r.component_id for r in labelled(described, ["fp"], links).collect()}
+    got = {r.doc_id: r.component_id for r in labelled(described, ["fp"], known).collect()}
     assert got == brute_close([(d, f & (1 << 64) - 1) for d, f in classes])
 
 
