@@ -11,11 +11,19 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors once per application, so that they need no copy of it on their path."""
+    """Sends this package to the executors once per application, so that they need no copy of it on their path.
+
+    Arrow batches are bounded by bytes too, unless the session says how: rows hold
+    texts of any length, and a task and its worker each hold a batch whole.
+    """
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, "4m")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
