@@ -19,6 +19,9 @@ from .plans import injection
 from .sources import testdata as td
 from .sources.hooks import decode_lines, parse_hooks
 from .sources.transcripts import size_hint
+from .session import shared_dir, staged
+from .streaming import enrich
+from .streaming.store import Manifest, Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -231,6 +234,33 @@ def _(spark, d):
     return ev.health(td.mem_events(spark, d), td.vectors(spark, d), "given")
 
 
+# Enrichment in batches, against one pass over the whole log.
+
+
+def _in_batches(spark, d, batches: int, sinks) -> tuple[enrich.Enrichment, Manifest]:
+    """The log taken in by so many batches of ids, through the store."""
+    log = staged(td.mem_events(spark, d))
+    top = log.agg(ev.corpus_size(log)).first()[0]
+    job = enrich.Enrichment(Store(spark, shared_dir(spark)), sinks)
+    for k in range(batches):
+        job.advance(k, log.filter((F.col("id") > top * k // batches) & (F.col("id") <= top * (k + 1) // batches)))
+    return job, job.store.head()
+
+
+@query("x2_enrichment", on_events("""
+    SELECT 'vectors' AS sink, id, 'hash3-256-v1' AS value FROM mem_events WHERE kind IN ('prompt', 'tool_output', 'assistant')
+    UNION ALL SELECT 'imports', id, json_extract_string(meta, '$.transcript_path') FROM mem_events WHERE kind = 'session_end' AND json_extract_string(meta, '$.transcript_path') IS NOT NULL
+    UNION ALL SELECT 'digests', id, CASE WHEN strlen(g) < strlen(content) AND strlen(g) // 4 <= 5 THEN g ELSE '' END
+    FROM (SELECT *, left(content, 15) || '…' AS g FROM mem_events WHERE kind = 'tool_output' AND saved_by IS NULL AND hidden_at IS NULL AND strlen(content) >= 18)"""))
+def _(spark, d):
+    sinks = [enrich.vector_sink(HashEmbedder()), enrich.import_sink(), enrich.digest_sink("first-words", enrich.first_words, 18, 5)]
+    job, m = _in_batches(spark, d, 3, sinks)
+    read = lambda name: job.store.read(m, name)
+    rows = read("vectors").select(F.lit("vectors").alias("sink"), F.col("event_id").alias("id"), F.col("model").alias("value"))
+    rows = rows.unionByName(read("imports").select(F.lit("imports").alias("sink"), "id", F.col("transcript_path").alias("value")))
+    return rows.unionByName(read("digests").select(F.lit("digests").alias("sink"), "id", F.coalesce("digest", F.lit("")).alias("value")))
+
+
 # Search.
 
 _TERMS = rf"""
@@ -466,6 +496,15 @@ def _(spark, d):
     return _graph(spark, d)[1].select("a", "b", "weight")
 
 
+@query("g8_incremental_graph", on_graph("""SELECT 'entity' AS part, kind AS a, project AS b, name AS c, weight, updated_at FROM ents
+    UNION ALL SELECT 'edge', a, b, '', weight, NULL FROM edgs"""))
+def _(spark, d):
+    # Six batches, so that some of their changes are merged on the way.
+    entities, edges = _in_batches(spark, d, 6, [enrich.entity_sink(), enrich.edge_sink()])[0].graph()
+    rows = entities.select(F.lit("entity").alias("part"), F.col("kind").alias("a"), F.col("project").alias("b"), F.col("name").alias("c"), "weight", "updated_at")
+    return rows.unionByName(edges.select(F.lit("edge").alias("part"), "a", "b", F.lit("").alias("c"), "weight", F.lit(None).cast("long").alias("updated_at")))
+
+
 @query("r9_top_entities", on_graph("SELECT name, kind, project, weight FROM ents ORDER BY weight DESC, first_id, key LIMIT 20"))
 def _(spark, d):
     w = graph.top_entities(_graph(spark, d)[0], 20)

@@ -247,14 +247,24 @@ def parse(files: DataFrame, harness: str) -> tuple[DataFrame, DataFrame]:
     skipped = rows.groupBy("session").agg(F.count_if(~F.col("p.ok")).alias("skipped"))
     kept = rows.filter("p.ok AND p.role IS NOT NULL")
     index = F.row_number().over(Window.partitionBy("session").orderBy("n")) - 1
-    stamp = F.floor(F.col("p.time_ms") / 1000).cast("long") if harness == "kimi" else dates.rfc3339_epoch("p.stamp") if harness in ("claude-code", "codex") else F.lit(None)
     items = kept.select(
         "session", F.lit(harness).alias("harness"), "path", index.cast("long").alias("index"), "p.role", "p.kind", T.preview("p.text").alias("text_preview"),
-        F.col("p.text").alias("text_full"), T.tokens_est("p.text").alias("tokens_est"), stamp.cast("long").alias("timestamp"), "raw_line",
+        F.col("p.text").alias("text_full"), T.tokens_est("p.text").alias("tokens_est"), _stamp(harness).alias("timestamp"), "raw_line",
     )
     return items.to(spark_schema(items.sparkSession)), skipped
 
 
+def parse_lines(lines: DataFrame, harness: str) -> DataFrame:
+    """Items of a stream (or table) of lines of JSONL transcripts, path, line and value, but for their index: lines come one by one."""
+    rows = lines.filter(F.trim("value") != "").withColumn("p", _parser(harness)("value")).filter("p.ok AND p.role IS NOT NULL")
+    return rows.select(session_name("path").alias("session"), F.lit(harness).alias("harness"), "path", "p.role", "p.kind", T.preview("p.text").alias("text_preview"), F.col("p.text").alias("text_full"), T.tokens_est("p.text").alias("tokens_est"), _stamp(harness).alias("timestamp"), F.col("line").alias("raw_line"))
+
+
+def _stamp(harness: str):
+    stamp = F.floor(F.col("p.time_ms") / 1000) if harness == "kimi" else dates.rfc3339_epoch("p.stamp") if harness in ("claude-code", "codex") else F.lit(None)
+    return stamp.cast("long")
+
+
 def spark_schema(spark: SparkSession):
     return spark.createDataFrame([], ITEMS).schema
 
