@@ -288,20 +288,14 @@ def _bm25(cw: float, tw: float) -> str:
 
 _ALL = "wanted AS MATERIALIZED (SELECT query_id, term_no, ks, k FROM qk)"
 _BENCH_Q = "log AS (SELECT * FROM mem_events), q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
-_DIALOGUE_LOG = "log AS MATERIALIZED (SELECT * FROM mem_events WHERE meta IS NULL AND session_id LIKE 'conv-%')"
-_PROMPTS_Q = f"{_DIALOGUE_LOG}, q AS (SELECT id AS query_id, session_id, content AS query FROM log WHERE kind = 'prompt')"
+_LOG = "log AS MATERIALIZED (SELECT * FROM mem_events)"
+_PROMPTS_Q = f"{_LOG}, q AS (SELECT id AS query_id, session_id, content AS query FROM log WHERE kind = 'prompt')"
 _ERRORS_Q = "log AS MATERIALIZED (SELECT * FROM mem_events), q AS (SELECT item_id AS query_id, 'panicked at m' || (item_id % 90) || ' src/app/main.rs error[E0' || (item_id % 90) || '1]' AS query FROM benchmark)"
 
 
-_indexes: dict[tuple, search.Index] = {}
-
-
-def _index(spark, d, part="all"):
-    """The index of a folder's log, built once in an application."""
-    key = spark.sparkContext.applicationId, d, part
-    if key not in _indexes:
-        _indexes[key] = search.Index.of(td.mem_events(spark, d, part)).staged()
-    return _indexes[key]
+def _index(spark, d):
+    """The index of a folder's whole log, written once for the query that asks."""
+    return search.Index.of(td.mem_events(spark, d)).staged()
 
 
 def _items(spark, d):
@@ -337,12 +331,12 @@ def _(spark, d):
 
 @query("t4_selective_terms", on_events(f", {_PROMPTS_Q}, {_TERMS}, {_SELECTIVE} SELECT query_id, CAST(term_no AS INTEGER) AS term_no, df FROM wanted"))
 def _(spark, d):
-    return search.selective(_index(spark, d, "dialogue"), search.terms(_prompts(spark, d))).select("query_id", "term_no", "df")
+    return search.selective(_index(spark, d), search.terms(_prompts(spark, d))).select("query_id", "term_no", "df")
 
 
 @query("t2_search_injection", on_events(f", {_PROMPTS_Q}, {_TERMS}, {_SELECTIVE}, {_bm25(1.0, 2.0)} SELECT query_id, id, round(rank, 6) AS rank FROM (SELECT ranked.*, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS r FROM ranked JOIN log USING (id) JOIN q USING (query_id) WHERE hidden_at IS NULL AND kind IN ('prompt', 'tool_output', 'assistant') AND log.session_id <> q.session_id) WHERE r <= 9"))
 def _(spark, d):
-    hits = search.search_for_injection(_index(spark, d, "dialogue"), _prompts(spark, d), 9, snippets=False)
+    hits = search.search_for_injection(_index(spark, d), _prompts(spark, d), 9, snippets=False)
     return hits.select("query_id", "id", F.round("rank", 6).alias("rank"))
 
 
@@ -356,7 +350,7 @@ _NORM = rf"array_to_string(list_transform({_words('snippet')}, lambda w: lower(r
     fit AS (SELECT *, sum(strlen(line)) OVER (PARTITION BY query_id ORDER BY place) + {len(injection.HEADER.encode())} AS upto FROM lines)
     SELECT query_id, count(*) AS items, CAST(({len(injection.HEADER.encode()) + len(injection.FOOTER)} + sum(strlen(line))) // 4 AS BIGINT) AS tokens_est, sha256(string_agg(line, '' ORDER BY place)) AS lines_sha256 FROM fit WHERE upto <= 2000 GROUP BY query_id"""))
 def _(spark, d):
-    hits = search.search_for_injection(_index(spark, d, "dialogue"), _prompts(spark, d), 9, snippets=False).withColumn("snippet", F.substring("content", 1, 300))
+    hits = search.search_for_injection(_index(spark, d), _prompts(spark, d), 9, snippets=False).withColumn("snippet", F.substring("content", 1, 300))
     out = injection.inject(hits)
     body = F.replace(F.replace("context", F.lit(injection.HEADER), F.lit("")), F.lit(injection.FOOTER), F.lit(""))
     return out.select("query_id", "items", "tokens_est", F.sha2(body.cast("binary"), 256).alias("lines_sha256"))
@@ -364,7 +358,7 @@ def _(spark, d):
 
 @query("t8_snippets")
 def _(spark, d):
-    return search.search_for_injection(_index(spark, d, "dialogue"), _prompts(spark, d), 3).select("query_id", "id", "snippet")
+    return search.search_for_injection(_index(spark, d), _prompts(spark, d), 3).select("query_id", "id", "snippet")
 
 
 @query("t9_prefix_snippet", "SELECT doc_id, substring(text, 1, 300) AS snippet FROM documents")
@@ -372,9 +366,9 @@ def _(spark, d):
     return td.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("snippet"))
 
 
-@query("t10_search_hybrid", on_events(f", {_DIALOGUE_LOG}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_TERMS}, {_SELECTIVE}, {_bm25(1.0, 1.0)}, pool AS (SELECT * FROM (SELECT ranked.*, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS r FROM ranked JOIN log USING (id) WHERE hidden_at IS NULL) WHERE r <= 200), n AS (SELECT *, min(rank) OVER (PARTITION BY query_id) AS lo, max(rank) OVER (PARTITION BY query_id) AS hi FROM pool) SELECT query_id, id, round(CASE WHEN hi > lo THEN 1 - (rank - lo) / (hi - lo) ELSE 1.0 END, 6) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, id) <= 20"))
+@query("t10_search_hybrid", on_events(f", {_LOG}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_TERMS}, {_SELECTIVE}, {_bm25(1.0, 1.0)}, pool AS (SELECT * FROM (SELECT ranked.*, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS r FROM ranked JOIN log USING (id) WHERE hidden_at IS NULL) WHERE r <= 200), n AS (SELECT *, min(rank) OVER (PARTITION BY query_id) AS lo, max(rank) OVER (PARTITION BY query_id) AS hi FROM pool) SELECT query_id, id, round(CASE WHEN hi > lo THEN 1 - (rank - lo) / (hi - lo) ELSE 1.0 END, 6) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, id) <= 20"))
 def _(spark, d):
-    index = _index(spark, d, "dialogue")
+    index = _index(spark, d)
     hits = search.search_hybrid(index, _items(spark, d), td.vectors(spark, d), HashEmbedder(), None, 20)
     return hits.select("query_id", "id", F.round("rank", 6).alias("rank"))
 
@@ -391,7 +385,7 @@ class _Lengths:
 _LENGTHS_COS = "(qa * la + qb * lb) / (sqrt(qa * qa + qb * qb) * sqrt(la * la + lb * lb))"
 
 
-@query("j4_search_hybrid_weighted", on_events(f""", {_DIALOGUE_LOG}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_TERMS}, {_SELECTIVE}, {_bm25(1.0, 1.0)},
+@query("j4_search_hybrid_weighted", on_events(f""", {_LOG}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_TERMS}, {_SELECTIVE}, {_bm25(1.0, 1.0)},
     pool AS (SELECT * FROM (SELECT ranked.*, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS r FROM ranked JOIN log USING (id) WHERE hidden_at IS NULL) WHERE r <= 200),
     qv AS (SELECT query_id, CAST(length(query) % 7 AS DOUBLE) AS qa, CAST(length(query) % 5 + 1 AS DOUBLE) AS qb FROM q),
     lv AS (SELECT id, CAST(length(content) % 7 AS DOUBLE) AS la, CAST(length(content) % 5 + 1 AS DOUBLE) AS lb FROM log WHERE hidden_at IS NULL),
@@ -401,7 +395,7 @@ _LENGTHS_COS = "(qa * la + qb * lb) / (sqrt(qa * qa + qb * qb) * sqrt(la * la +
               UNION ALL SELECT query_id, id, 0.4 * cos FROM (SELECT cos.*, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS r FROM cos ANTI JOIN pool USING (query_id, id) WHERE cos > 0) WHERE r <= 50)
     SELECT query_id, count(*) AS n, round(max(rank), 6) AS best, round(sum(rank), 4) AS total FROM (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) <= 40) GROUP BY query_id"""))
 def _(spark, d):
-    index, embedder = _index(spark, d, "dialogue"), _Lengths()
+    index, embedder = _index(spark, d), _Lengths()
     given = index.events.select(F.col("id").alias("event_id"), F.lit(embedder.id).alias("model"), embedder.embed(F.col("content")).alias("vec"))
     hits = search.search_hybrid(index, _items(spark, d), given, embedder, None, 40)
     return hits.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("rank"), 6).alias("best"), F.round(F.sum("rank"), 4).alias("total"))
@@ -807,4 +801,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prompt's context from other sessions."""
-    return injection.build_injection(_index(spark, sf_dir, "dialogue"), _prompts(spark, sf_dir))
+    return injection.build_injection(_index(spark, sf_dir), _prompts(spark, sf_dir))
