@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,52 +20,116 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, ids, longs, map_rows, quoted, staged
-from .words import ALNUM, Words, buffers, chunks, cover
+from .substring import spaced
+from .tokens import spread
+from .words import ALNUM, LOWER, MASKS, Words, buffers, chunks, cover
 
-#: Words of a window, and the most bytes of benchmark text in one broadcast index; more text takes more scans, one after the other.
+#: Words of a window, and the most bytes of benchmark text in one broadcast index, which is up to ten times as large; more text takes more scans, one after the other.
 WINDOW, BLOCK_BYTES = 10, 8 << 20
 
 
+def differ(a: np.ndarray, a0: np.ndarray, a1: np.ndarray, b: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    """Which of the spans a[a0:a1] are other bytes than b[b0:b1]; both texts have 8 bytes more. Eight bytes a step, all spans at once."""
+    size = a1 - a0
+    out = size != b1 - b0
+    left, k = np.flatnonzero(~out), 0
+    x, y = (np.ndarray((len(t) - 7,), "<u8", t.data, strides=(1,)) for t in (a, b))
+    while len(left):
+        bits = (x[a0[left] + k] ^ y[b0[left] + k]) & MASKS[np.minimum(size[left] - k, 8)]
+        out[left[bits != 0]] = True
+        k += 8
+        left = left[(bits == 0) & (size[left] > k)]
+    return out
+
+
+@dataclass
+class _Windows:
+    """Different windows of one length: sorted hashes, their words' places in the index's text, and the items that have each (of ptr[i]:ptr[i + 1])."""
+
+    h: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    ptr: np.ndarray
+    item: np.ndarray
+
+
 class Index:
-    """Windows of benchmark items: by length, sorted hashes, their words and the items they occur in."""
+    """Windows of benchmark items in flat arrays: their words once, as text, and about 24 bytes a window."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = WINDOW):
-        found: dict[tuple[int, int], dict[bytes, set]] = {}
-        for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            w = Words(raw, np.array([0, len(raw)]), ALNUM, lower=True)
-            size = min(n, len(w))
-            if not size:
-                continue
-            first = w.windows(size)
-            for i, h in zip(first.tolist(), w.window_hashes(first, size).tolist(), strict=True):
-                found.setdefault((size, h), {}).setdefault(_words(w, i, size), set()).update(() if item is None else (item,))
-        self.lengths = sorted({size for size, _ in found})
-        self.hashes = {size: np.array(sorted(h for s, h in found if s == size), np.uint64) for size in self.lengths}
-        self.found = found
-
-    def scan(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, list[set]]:
+        self.ids = np.array(sorted({i for i, _ in items if i is not None}), np.int64)
+        number = np.array([-1 if i is None else int(np.searchsorted(self.ids, i)) for i, _ in items], np.int32)
+        buf, offsets = buffers(pa.array([t for _, t in items], pa.large_string()))
+        w = Words(buf, offsets, ALNUM, lower=True)
+        text, starts, ends = spaced(w)
+        self.text, self.sizes = LOWER[text], {}
+        length = np.minimum(w.counts, n)
+        for size in np.unique(length[length > 0]).tolist():
+            first = w.windows(n) if size == n else w.bounds[:-1][length == size]
+            doc = np.searchsorted(w.bounds, first, "right") - 1
+            self.sizes[size] = self._windows(w.window_hashes(first, size), starts[first], ends[first + size - 1], number[doc])
+
+    def _windows(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> _Windows:
+        order, tie = np.argsort(h, kind="stable"), np.zeros(len(h), np.int64)
+        h, start, end, item = h[order], start[order], end[order], item[order]
+        new = np.append(True, h[1:] != h[:-1])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        odd = differ(self.text, start, end, self.text, start[head], end[head])
+        if odd.any():
+            # Windows of equal hash and other words are told apart by their words.
+            seen: dict[bytes, int] = {}
+            for i in np.flatnonzero(np.isin(head, head[odd])).tolist():
+                tie[i] = seen.setdefault(self.text[start[i] : end[i]].tobytes(), len(seen) + 1)
+            order = np.lexsort((tie, h))
+            h, start, end, item, tie = h[order], start[order], end[order], item[order], tie[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (tie[1:] != tie[:-1]))
+        heads, win = np.flatnonzero(new), np.cumsum(new) - 1
+        some = np.flatnonzero(item >= 0)
+        pair = np.unique(win[some] * (len(self.ids) + 1) + item[some])
+        own, of = pair // (len(self.ids) + 1), (pair % (len(self.ids) + 1)).astype(np.int32)
+        ptr = np.searchsorted(own, np.arange(len(heads) + 1)).astype(np.int32)
+        return _Windows(h[heads], start[heads].astype(np.int32), end[heads].astype(np.int32), ptr, of)
+
+    def nbytes(self) -> int:
+        return self.text.nbytes + self.ids.nbytes + sum(x.nbytes for s in self.sizes.values() for x in vars(s).values())
+
+    def scan(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, list[list[int]]]:
         """The words of a chunk, which of them are hit, and each document's items."""
         w = Words(buf, offsets, ALNUM, lower=True)
-        docs = w.doc()
-        items: list[set] = [set() for _ in range(len(offsets) - 1)]
-        first, length = [], []
-        for size in self.lengths:
+        docs, first, length, found, plain = w.doc(), [], [], [], None
+        for size, known in self.sizes.items():
             at = w.windows(size)
-            h, known = w.window_hashes(at, size), self.hashes[size]
-            pos = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            some = np.flatnonzero(known[pos] == h)
-            for i, x in zip(at[some].tolist(), h[some].tolist(), strict=True):
-                got = self.found[size, x].get(_words(w, i, size))
-                if got is not None:
-                    items[docs[i]] |= got
-                    first.append(i)
-                    length.append(size)
-        return w, cover(np.array(first, np.int64), np.array(length, np.int64), len(w)), items
-
-
-def _words(w: Words, i: int, n: int) -> bytes:
-    return b" ".join(w.text[a:b].tobytes() for a, b in zip(w.starts[i : i + n].tolist(), w.ends[i : i + n].tolist(), strict=True))
+            h = w.window_hashes(at, size)
+            pos = np.searchsorted(known.h, h)
+            some = np.flatnonzero(known.h[np.minimum(pos, len(known.h) - 1)] == h)
+            while len(some):
+                if plain is None:
+                    plain, starts, ends = spaced(w)
+                    plain = LOWER[plain]
+                i, k = at[some], pos[some]
+                same = ~differ(plain, starts[i], ends[i + size - 1], self.text, known.start[k], known.end[k])
+                first.append(i[same])
+                length.append(np.full(len(first[-1]), size))
+                found.append(self._items(known, docs[i[same]], k[same]))
+                # Others may be the next window of that hash.
+                some = some[~same]
+                pos[some] += 1
+                some = some[known.h[np.minimum(pos[some], len(known.h) - 1)] == h[some]]
+                some = some[pos[some] < len(known.h)]
+        items: list[list[int]] = [[] for _ in range(len(offsets) - 1)]
+        if not first:
+            return w, np.zeros(len(w), bool), items
+        pair = np.unique(np.concatenate(found))
+        for d, i in zip((pair // max(1, len(self.ids))).tolist(), (pair % max(1, len(self.ids))).tolist(), strict=True):
+            items[d].append(int(self.ids[i]))
+        return w, cover(np.concatenate(first), np.concatenate(length), len(w)), items
+
+    def _items(self, known: _Windows, doc: np.ndarray, win: np.ndarray) -> np.ndarray:
+        """Numbers of (document, item) that the windows found have; a window counts once a document."""
+        pair = np.unique(doc * len(known.h) + win)
+        doc, win = pair // len(known.h), pair % len(known.h)
+        n = (known.ptr[win + 1] - known.ptr[win]).astype(np.int64)
+        return np.repeat(doc, n) * len(self.ids) + known.item[spread(known.ptr[win].astype(np.int64), n)]
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[int, Callable[[int], list[tuple[int, str]]]]:
@@ -94,7 +159,7 @@ def _scan(rows: DataFrame, handle) -> DataFrame:
             for i, j, buf, offsets in chunks(*buffers(b.column(1))):
                 w, hit, items = handle.value.scan(buf, offsets)
                 at = [np.flatnonzero(hit[x:y]).astype("<i4").tobytes() for x, y in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)]
-                yield from batches([longs(key[i:j]), w.counts.astype(np.int64), pa.array(at, pa.binary()), pa.array([sorted(s) for s in items], pa.list_(pa.int64()))], _SCANNED)
+                yield from batches([longs(key[i:j]), w.counts.astype(np.int64), pa.array(at, pa.binary()), pa.array(items, pa.list_(pa.int64()))], _SCANNED)
 
     return rows.mapInArrow(scan, _SCANNED_COLUMNS)
 

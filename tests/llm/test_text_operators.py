@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from memlake.llm import decontaminate, jaccard, quality, substring
@@ -379,3 +380,17 @@ def test_orders_after_the_first_let_every_similar_pair_through():
             assert all(met)
         assert met == [bool(np.intersect1d(jaccard.prefix(a, levels, k), jaccard.prefix(b, levels, k)).size) for k in (1, 2)]
     assert jaccard.marks(np.zeros(0, np.uint64), levels) == np.zeros(1, np.uint32).tobytes()
+
+
+def test_index_of_items_is_flat(monkeypatch):
+    """Up to ten times its text, and right where all hashes agree."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 9))))
+    items = [(i, " ".join(word() for _ in range(int(rng.integers(0, 60))))) for i in range(3000)]
+    index = decontaminate.Index(items)
+    assert index.nbytes() <= 10 * sum(len(t) for _, t in items)
+    texts = [items[5][1] + " x " + items[7][1], "none of it", items[9][1].upper()]
+    want = decontaminate.Index(items[:12]).scan(*buffers(pa.array(texts)))[1:]
+    monkeypatch.setattr(Words, "window_hashes", lambda self, first, n, which=0: np.full(len(first), 7, np.uint64))
+    hit, found = decontaminate.Index(items[:12]).scan(*buffers(pa.array(texts)))[1:]
+    assert found == want[1] and (hit == want[0]).all()
