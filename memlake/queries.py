@@ -20,7 +20,7 @@ from .sources import testdata as td
 from .sources.hooks import decode_lines, parse_hooks
 from .sources.transcripts import size_hint
 from .session import shared_dir, staged
-from .streaming import enrich
+from .streaming import enrich, segments
 from .streaming.store import Manifest, Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -334,12 +334,23 @@ def _(spark, d):
     return search.selective(_index(spark, d), search.terms(_prompts(spark, d))).select("query_id", "term_no", "df")
 
 
-@query("t2_search_injection", on_events(f", {_PROMPTS_Q}, {_TERMS}, {_SELECTIVE}, {_bm25(1.0, 2.0)} SELECT query_id, id, round(rank, 6) AS rank FROM (SELECT ranked.*, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS r FROM ranked JOIN log USING (id) JOIN q USING (query_id) WHERE hidden_at IS NULL AND kind IN ('prompt', 'tool_output', 'assistant') AND log.session_id <> q.session_id) WHERE r <= 9"))
+_T2 = on_events(f", {_PROMPTS_Q}, {_TERMS}, {_SELECTIVE}, {_bm25(1.0, 2.0)} SELECT query_id, id, round(rank, 6) AS rank FROM (SELECT ranked.*, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS r FROM ranked JOIN log USING (id) JOIN q USING (query_id) WHERE hidden_at IS NULL AND kind IN ('prompt', 'tool_output', 'assistant') AND log.session_id <> q.session_id) WHERE r <= 9")
+
+
+@query("t2_search_injection", _T2)
 def _(spark, d):
     hits = search.search_for_injection(_index(spark, d), _prompts(spark, d), 9, snippets=False)
     return hits.select("query_id", "id", F.round("rank", 6).alias("rank"))
 
 
+@query("t2_segmented_search", _T2)
+def _(spark, d):
+    """The same rows from an index of five batches, four of whose segments have become one."""
+    job, m = _in_batches(spark, d, 5, segments.index_sinks())
+    hits = search.search_for_injection(segments.segmented(job, m), _prompts(spark, d), 9, snippets=False)
+    return hits.select("query_id", "id", F.round("rank", 6).alias("rank"))
+
+
 _NORM = rf"array_to_string(list_transform({_words('snippet')}, lambda w: lower(regexp_replace(w, '[0-9]+$', ''))), ' ')"
 
 
