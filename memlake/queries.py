@@ -456,9 +456,20 @@ def _(spark, d):
     return vectors.backlog(td.mem_events(spark, d), td.vectors(spark, d), "given").select("id")
 
 
-@query("v1_hash_embedding")
-def _(spark, d):
-    return vectors.embed_events(td.dialogue(spark, d), HashEmbedder())
+@query("v1_hash_embedding", on_events(f"""
+    , t AS (SELECT id, {_fold("content")} AS t FROM mem_events),
+    g AS MATERIALIZED (SELECT id, unnest(CASE WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3)) END) AS gram FROM t WHERE t <> ''),
+    h AS (SELECT gram, list_reduce(list_concat([2166136261], list_transform(range(1, strlen(gram) + 1), lambda i: CAST('0x' || substring(hex(encode(gram)), 2 * i - 1, 2) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS h FROM (SELECT DISTINCT gram FROM g)),
+    v AS (SELECT id, h % 256 AS slot, sum(CASE WHEN (h // 256) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM g JOIN h USING (gram) GROUP BY ALL HAVING v <> 0),
+    s AS (SELECT id, count(*) AS n, sum(sign(v) * (slot + 1)) AS signed, round(max(abs(v)) / sqrt(sum(v * v)), 2) AS top FROM v GROUP BY id)
+    SELECT id, coalesce(n, 0) AS n, CAST(coalesce(signed, 0) AS BIGINT) AS signed, coalesce(top, 0) AS top FROM mem_events LEFT JOIN s USING (id)"""))
+def _(spark, d):
+    """Of each vector: slots in use, their numbers with the signs of their values, and the greatest value."""
+    v = vectors.embed_events(td.mem_events(spark, d), HashEmbedder())
+    used = F.filter(F.transform("vec", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"] != 0)
+    signed = F.aggregate(used, F.lit(0).cast("long"), lambda a, s: a + F.signum(s["x"]).cast("long") * (s["i"] + 1))
+    top = F.round(F.coalesce(F.array_max(F.transform("vec", lambda x: F.abs(x))), F.lit(0.0)).cast("double"), 2)
+    return v.select(F.col("event_id").alias("id"), F.size(used).cast("long").alias("n"), signed.alias("signed"), top.alias("top"))
 
 
 # Graph.
@@ -548,7 +559,12 @@ def _(spark, d):
     return graph.top_edges(*_graph(spark, d)).select("key", "other", "weight")
 
 
-@query("g15_wisdom")
+@query("g15_wisdom", on_graph("""
+    , top AS (SELECT name, key FROM ents ORDER BY weight DESC, first_id, key LIMIT 5),
+    st AS (SELECT top.key AS query_id, ents.key AS start FROM top JOIN ents USING (name) QUALIFY row_number() OVER (PARTITION BY top.key ORDER BY first_id, ents.key) = 1),
+    adj AS (SELECT a AS src, b AS dst, weight FROM edgs UNION ALL SELECT b, a, weight FROM edgs),
+    best AS (SELECT query_id, dst AS node, max(weight / 10) AS p FROM st JOIN adj ON src = start WHERE dst <> start GROUP BY ALL)
+    SELECT query_id, name, kind, project, weight, round(p * weight, 6) AS score FROM best JOIN ents ON key = node QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(p * weight, 6) DESC, key) <= 5"""))
 def _(spark, d):
     return graph.wisdom(*_graph(spark, d))
 

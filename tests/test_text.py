@@ -61,6 +61,14 @@ def test_hash_embedding(spark):
     v = embed.hash_vector("Ação")
     assert abs(float((v * v).sum()) - 1) < 1e-6 and (embed.hash_vector("acao") == v).all()
     assert embed.hash_vector("").sum() == 0 and (embed.hash_vector("ab") != 0).sum() == 1
+    texts = ["Ação", "", "a", "é🙂", "naïve 日本語 🙂 text", "\u0800\uffff\U0010ffff" * 3]
+    for t, got in zip(texts, embed.hash_vectors(texts), strict=True):
+        low, want = t.lower().translate(embed._folded), [0] * 256
+        for g in [low] if 0 < len(low) < 3 else [low[i : i + 3] for i in range(len(low) - 2)]:
+            h = embed.fnv1a(g.encode())
+            want[h % 256] += 1 if h // 256 & 1 else -1
+        norm = sum(x * x for x in want) ** 0.5 or 1
+        assert max(abs(x / norm - y) for x, y in zip(want, got.tolist(), strict=True)) < 1e-6
     assert embed.fnv1a(b"") == 0x811C9DC5 and embed.fnv1a(b"a") == 0xE40C292C
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0]), ([0.0], [1.0]), ([], [])], "a array<float>, b array<float>")
     assert [round(r[0], 6) for r in df.select(embed.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, 0.0, 0.0, 0.0]
