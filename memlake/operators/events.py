@@ -129,34 +129,77 @@ def daily_gain(ledger: DataFrame, watermark: str | None = None) -> DataFrame:
     return ts.groupBy(F.window("ts", "1 day").alias("day"), "kind").agg(F.sum("tokens").cast("long").alias("tokens")).select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "kind", "tokens")
 
 
+def _stamped(ledger: DataFrame, watermark: str | None) -> DataFrame:
+    ts = ledger.withColumn("ts", F.timestamp_seconds("created_at"))
+    return ts.withWatermark("ts", watermark) if watermark else ts
+
+
+def sliding_gain(ledger: DataFrame, size: str = "1 hour", slide: str = "30 minutes", watermark: str | None = None) -> DataFrame:
+    """An extension: start, kind, n, tokens of overlapping windows. On a stream rows later than the watermark are left out."""
+    g = _stamped(ledger, watermark).groupBy(F.window("ts", size, slide).alias("w"), "kind").agg(F.count("*").alias("n"), F.sum("tokens").cast("long").alias("tokens"))
+    return g.select(F.unix_timestamp("w.start").alias("start"), "kind", "n", "tokens")
+
+
+def session_gain(ledger: DataFrame, gap: str = "30 minutes", watermark: str | None = None) -> DataFrame:
+    """An extension: session_id, start, last, n, tokens of each run of a session's rows without a pause as long as the gap."""
+    g = _stamped(ledger, watermark).groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.max("created_at").alias("last"), F.count("*").alias("n"), F.sum("tokens").cast("long").alias("tokens"))
+    return g.select("session_id", F.unix_timestamp("w.start").alias("start"), "last", "n", "tokens")
+
+
+def once_each(stream: DataFrame, keys: list[str], watermark: str) -> DataFrame:
+    """Of rows of a stream that come again within the watermark the first; created_at says when a row is from."""
+    return _stamped(stream, watermark).dropDuplicatesWithinWatermark(keys)
+
+
 # Soft state: an append-only log of operations, folded when read.
 
 
+def fold_state(ops: DataFrame) -> DataFrame:
+    """What a run of ops (seq, id, op, arg, ts, tags) leaves of each id: one row, whatever their number.
+
+    un is the last unhide, hid the first hide after it, note and edit the last ones; each with its seq.
+    """
+    unhidden = F.max(F.when(F.col("op") == "unhide", F.col("seq"))).over(Window.partitionBy("id"))
+    o = ops.withColumn("_un", F.coalesce(unhidden, F.lit(-1)))
+
+    def last(op: str, *fields: Column) -> Column:
+        return F.max(F.when(F.col("op") == op, F.struct("seq", *fields)))
+
+    return o.groupBy("id").agg(
+        F.max("_un").alias("un"),
+        F.min(F.when((F.col("op") == "hide") & (F.col("seq") > F.col("_un")), F.struct("seq", "ts"))).alias("hid"),
+        last("annotate", F.coalesce("arg", F.lit("")).alias("arg")).alias("note"),
+        last("edit", F.col("arg"), F.col("tags")).alias("edit"),
+    )
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of consecutive runs of one log, in any order, as the state of the whole log: what a snapshot is compacted by."""
+    un = F.max("un").over(Window.partitionBy("id"))
+    s = states.withColumn("_un", un)
+    live = F.when(F.col("hid.seq") > F.col("_un"), F.col("hid"))
+    return s.groupBy("id").agg(F.max("_un").alias("un"), F.min(live).alias("hid"), F.max("note").alias("note"), F.max("edit").alias("edit"))
+
+
+def apply_state(events: DataFrame, states: DataFrame) -> DataFrame:
+    """Events with hidden_at, note, content, tags and token estimate as the log behind the states leaves them."""
+    e = events.join(states.select("id", *(F.col(c).alias(f"_{c}") for c in ("un", "hid", "note", "edit"))), "id", "left")
+    hidden = F.when(F.col("_un") >= 0, F.col("_hid.ts")).otherwise(F.coalesce("hidden_at", "_hid.ts"))
+    edited = F.col("manual") & F.col("_edit.arg").isNotNull()
+    e = e.withColumn("hidden_at", F.when(F.col("_un").isNull(), F.col("hidden_at")).otherwise(hidden))
+    e = e.withColumn("note", F.when(F.col("_note").isNull(), F.col("note")).otherwise(F.nullif(F.trim("_note.arg"), F.lit(""))))
+    e = e.withColumn("tags", F.when(edited & F.col("_edit.tags").isNotNull(), F.col("_edit.tags")).otherwise(F.col("tags")))
+    e = e.withColumn("content", F.when(edited, F.col("_edit.arg")).otherwise(F.col("content"))).withColumn("tokens_est", F.when(edited, T.tokens_est("content")).otherwise(F.col("tokens_est")))
+    return e.drop("_un", "_hid", "_note", "_edit")
+
+
 def fold_ops(events: DataFrame, ops: DataFrame) -> DataFrame:
-    """Events with hidden_at, note, content, tags and token estimate as the log of ops leaves them.
+    """Events as the log of ops leaves them.
 
     hide keeps the first stamp while hidden, unhide clears it; the last annotate
     wins and a blank one clears; edits, of manual rows only, take the last.
     """
-    last = Window.partitionBy("id")
-    unhidden = F.max(F.when(F.col("op") == "unhide", F.col("seq"))).over(last)
-    o = ops.withColumn("_after", F.coalesce(unhidden, F.lit(-1)))
-    folded = o.groupBy("id").agg(
-        F.min_by("ts", F.when((F.col("op") == "hide") & (F.col("seq") > F.col("_after")), F.col("seq"))).alias("_hidden"),
-        F.max(F.when(F.col("op").isin("hide", "unhide"), 1)).alias("_touched"),
-        F.max(F.when(F.col("op") == "unhide", 1)).alias("_unhid"),
-        F.max_by(F.coalesce("arg", F.lit("")), F.when(F.col("op") == "annotate", F.col("seq"))).alias("_note"),
-        F.max_by("arg", F.when(F.col("op") == "edit", F.col("seq"))).alias("_edit"),
-        F.max_by("tags", F.when(F.col("op") == "edit", F.col("seq"))).alias("_tags"),
-    )
-    e = events.join(folded, "id", "left")
-    kept = F.when(F.col("_unhid").isNull(), F.coalesce("hidden_at", "_hidden")).otherwise(F.col("_hidden"))
-    edited = F.col("manual") & F.col("_edit").isNotNull()
-    e = e.withColumn("hidden_at", F.when(F.col("_touched").isNull(), F.col("hidden_at")).otherwise(kept))
-    e = e.withColumn("note", F.when(F.col("_note").isNull(), F.col("note")).otherwise(F.nullif(F.trim("_note"), F.lit(""))))
-    e = e.withColumn("tags", F.when(edited & F.col("_tags").isNotNull(), F.col("_tags")).otherwise(F.col("tags")))
-    e = e.withColumn("content", F.when(edited, F.col("_edit")).otherwise(F.col("content"))).withColumn("tokens_est", F.when(edited, T.tokens_est("content")).otherwise(F.col("tokens_est")))
-    return e.drop("_hidden", "_touched", "_unhid", "_note", "_edit", "_tags")
+    return apply_state(events, fold_state(ops))
 
 
 def manual_memory(rows: DataFrame) -> DataFrame:

@@ -197,6 +197,18 @@ def _(spark, d):
     return ev.daily_gain(td.ledger(spark, d))
 
 
+@query("x5_sliding_gain", f"WITH {td.LEDGER_SQL} SELECT CAST(s - s % 1800 - 1800 * k AS BIGINT) AS start, kind, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT *, created_at AS s, unnest([0, 1]) AS k FROM ledger) GROUP BY ALL")
+def _(spark, d):
+    return ev.sliding_gain(td.ledger(spark, d))
+
+
+@query("x5_session_gain", f"""WITH {td.LEDGER_SQL}, b AS (SELECT *, created_at - lag(created_at) OVER (PARTITION BY session_id ORDER BY created_at) > 43200 AS far FROM ledger),
+    r AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY created_at) AS run FROM b)
+    SELECT session_id, min(created_at) AS start, max(created_at) AS last, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM r GROUP BY session_id, run""")
+def _(spark, d):
+    return ev.session_gain(td.ledger(spark, d), "12 hours")
+
+
 @query("r11_list_memories", on_events("SELECT id, kind, content, hidden_at IS NOT NULL AS hidden, created_at FROM mem_events WHERE kind NOT IN ('session_start', 'session_end') AND hidden_at IS NULL AND project = '/p/4' ORDER BY created_at DESC, id DESC LIMIT 100"))
 def _(spark, d):
     return ev.list_memories(td.mem_events(spark, d), "/p/4", False, 100).select("id", "kind", "content", "hidden", "created_at")
@@ -216,6 +228,35 @@ def _(spark, d):
     return ev.fold_ops(td.mem_events(spark, d), ops).select("id", "hidden_at", "note")
 
 
+@query("c6_compacted_state", on_events("""
+    , ops AS (SELECT event_id AS seq, event_id % 700 + 1 AS id, CASE event_id % 5 WHEN 0 THEN 'edit' WHEN 1 THEN 'hide' WHEN 2 THEN 'unhide' WHEN 3 THEN 'annotate' ELSE 'hide' END AS op,
+                     'text ' || user_id AS arg, CASE WHEN user_id % 2 = 0 THEN 'tag' || user_id END AS tags, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events),
+    u AS (SELECT id, max(seq) FILTER (op = 'unhide') AS un, arg_max(arg, seq) FILTER (op = 'annotate') AS note, arg_max(arg, seq) FILTER (op = 'edit') AS said, max(seq) FILTER (op = 'edit') AS es FROM ops GROUP BY id),
+    h AS (SELECT o.id, arg_min(o.ts, o.seq) AS hid FROM ops o JOIN u USING (id) WHERE op = 'hide' AND seq > coalesce(un, -1) GROUP BY o.id),
+    log AS (SELECT id, content, tags, hidden_at, id % 13 = 0 AS manual FROM mem_events UNION ALL SELECT 1000000 + event_id, 'added ' || user_id, 'own', NULL, true FROM events WHERE event_id % 50 = 0),
+    w AS (SELECT log.*, u.id IS NOT NULL AS touched, un, u.note, said, hid, e.tags AS etags FROM log LEFT JOIN u USING (id) LEFT JOIN h USING (id) LEFT JOIN ops e ON e.seq = u.es)
+    SELECT id, CASE WHEN touched THEN CASE WHEN un IS NULL THEN coalesce(hidden_at, hid) ELSE hid END ELSE hidden_at END AS hidden_at, nullif(trim(note), '') AS note,
+           sha256(CASE WHEN manual THEN coalesce(said, content) ELSE content END) AS content, CASE WHEN manual AND said IS NOT NULL THEN coalesce(etags, tags) ELSE tags END AS tags,
+           CAST(strlen(CASE WHEN manual THEN coalesce(said, content) ELSE content END) // 4 AS BIGINT) AS tokens_est FROM w"""))
+def _(spark, d):
+    """The log of ops in four runs, each folded to a state, the states merged, edits and added memories among them."""
+    e = td.table(spark, d, "events")
+    k = F.col("event_id") % 5
+    op = F.when(k == 0, "edit").when(k == 2, "unhide").when(k == 3, "annotate").otherwise("hide")
+    ops = e.select(F.col("event_id").alias("seq"), (F.col("event_id") % 700 + 1).alias("id"), op.alias("op"), F.concat(F.lit("text "), F.col("user_id").cast("string")).alias("arg"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("tag"), F.col("user_id").cast("string"))).alias("tags"))
+    log = td.mem_events(spark, d).withColumn("manual", F.col("id") % 13 == 0)
+    added = e.filter("event_id % 50 = 0").select((1_000_000 + F.col("event_id")).alias("id"), F.lit("/p/0").alias("project"), F.concat(F.lit("added "), F.col("user_id").cast("string")).alias("content"), F.lit("own").alias("tags"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_at"))
+    memories = ev.prepare(added.select("id", F.lit("manual").alias("session_id"), "project", F.lit("manual").alias("harness"), F.lit("manual").alias("kind"), "content", "tags", "created_at", F.lit(True).alias("manual")))
+    # Runs of the log by its order, of unlike lengths.
+    cut = F.floor(F.log2((F.col("seq") + 2).cast("double")) / 4)
+    runs = [ops.filter(cut == i) if i < 3 else ops.filter(cut >= 3) for i in range(4)]
+    states = ev.fold_state(runs[0])
+    for run in runs[1:]:
+        states = states.unionByName(ev.fold_state(run))
+    out = ev.apply_state(log.unionByName(memories.select(*log.columns)), ev.merge_states(states))
+    return out.select("id", "hidden_at", "note", F.sha2(F.col("content").cast("binary"), 256).alias("content"), "tags", "tokens_est")
+
+
 @query("c7_next_cursor", on_events("SELECT CAST(coalesce(max(id), 0) AS BIGINT) AS cursor FROM (SELECT id FROM mem_events WHERE kind = 'session_end' AND meta IS NOT NULL AND id > 0 ORDER BY id LIMIT 8)"))
 def _(spark, d):
     return ev.next_cursor(td.mem_events(spark, d), 0, 8)

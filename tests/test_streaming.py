@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import time
 
 import pytest
@@ -210,3 +211,54 @@ def test_keyed_imports_equal_the_batch(spark, tmp_path):
             time.sleep(0.2)
         q.stop()
         assert rows(spark.read.parquet(out)) == want
+
+
+def test_any_cut_of_the_ops_leaves_the_same(spark):
+    rng = random.Random(3)
+    events = spark.createDataFrame([(i, f"c{i}", "t", i % 2 == 0, 7 if i % 3 == 0 else None, "n0", 0) for i in range(12)], "id long, content string, tags string, manual boolean, hidden_at long, note string, tokens_est long")
+    ops = [(s, rng.randrange(12), rng.choice(["hide", "unhide", "annotate", "edit", "hide"]), rng.choice([" ", f"a{s}"]), 100 + s, rng.choice([None, f"t{s}"])) for s in range(60)]
+    # By hand, one after the other.
+    want = {r.id: r.asDict() for r in events.collect()}
+    for _, i, op, arg, ts, tags in ops:
+        e = want[i]
+        if op == "hide" and e["hidden_at"] is None:
+            e["hidden_at"] = ts
+        elif op == "unhide":
+            e["hidden_at"] = None
+        elif op == "annotate":
+            e["note"] = arg.strip() or None
+        elif op == "edit" and e["manual"]:
+            e |= {"content": arg, "tags": tags or "t", "tokens_est": len(arg.encode()) // 4}
+    schema = "seq long, id long, op string, arg string, ts long, tags string"
+    for cuts in ([], [30], [1, 2, 59], [10, 20, 30, 40, 50]):
+        states = None
+        for a, b in zip([0, *cuts], [*cuts, 60], strict=True):
+            part = ev.fold_state(spark.createDataFrame(ops[a:b], schema))
+            states = part if states is None else part.unionByName(states)
+        got = {r.id: r.asDict() for r in ev.apply_state(events, ev.merge_states(states)).collect()}
+        assert got == want, cuts
+
+
+def test_late_rows_and_repeats(spark, tmp_path):
+    """Rows inside the watermark count, later ones don't; repeats within it come once. A batch goes by the watermark before its predecessor."""
+    schema = "kind string, session_id string, tokens long, created_at long"
+    day = 86400
+    files = [[("a", "s", 1, 1000), ("a", "s", 2, 1500)], [("a", "s", 4, day)], [("b", "z", 0, day + 1)], [("a", "s", 8, day - 3000), ("a", "s", 16, 2000), ("a", "s", 4, day)], [("b", "s", 0, 3 * day)], [("b", "s", 0, 5 * day)]]
+    for k, part in enumerate(files):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+        time.sleep(1.1)
+
+    def run(name, make):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
+        q = make(stream).writeStream.format("parquet").option("path", f"file://{tmp_path}/{name}").option("checkpointLocation", f"file://{tmp_path}/{name}-cp").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(100)
+        q.stop()
+        return spark.read.parquet(f"file://{tmp_path}/{name}")
+
+    got = run("slide", lambda s: ev.sliding_gain(s, watermark="2 hours"))
+    # The row of 2000 comes a day late; that of day - 3000 is within two hours.
+    assert {(r.start, r.tokens) for r in got.filter("kind = 'a'").collect()} == {(0, 3), (-1800, 3), (day - 3600, 8), (day - 5400, 8), (day, 8), (day - 1800, 8)}
+    got = run("session", lambda s: ev.session_gain(s, "2 hours", "2 hours"))
+    assert {(r.start, r.n, r.tokens) for r in got.filter(f"start < {2 * day} AND session_id = 's'").collect()} == {(1000, 2, 3), (day - 3000, 3, 16)}
+    got = run("once", lambda s: ev.once_each(s, ["session_id", "kind", "tokens"], "2 hours").drop("ts"))
+    assert got.filter("tokens = 4").count() == 1
