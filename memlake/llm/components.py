@@ -26,6 +26,9 @@ def components(links: DataFrame, parts: int | None = None) -> DataFrame:
     no task's list; the minima are summed before they are shuffled. Rounds end
     when the table stays as it is, after about log(nodes) of them; each is written
     to the shared folder, in `parts` files at most, which cuts the lineage.
+
+    Links may repeat and go either way. Those from a node to itself, and those with a
+    null end, join nothing and list nothing; without links nothing is listed.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges, before = staged(edges, parts), None

@@ -265,7 +265,9 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, ro
     with column and offset indexes, so that a reader of a few documents or of
     the counts alone reads only their pages. Texts are dealt by ranges of ids
     before they are encoded: text is smaller than ids, and no key can be hot but
-    a repeated id. Null ids come last.
+    a repeated id. Null ids come last. Null and empty texts have the end id alone;
+    rows of one id follow one another in any order, repeated rows are written each;
+    an empty table makes a file without rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange(partitions_for(rows, each), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())

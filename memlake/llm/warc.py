@@ -141,6 +141,8 @@ def write_archives(pages: DataFrame, folder: str, each: int = 64 << 20) -> DataF
     response, all others refer to it. Groups of equal payloads are found on
     digests alone, summed before they are shuffled; pages then meet the short list
     of their revisits by page_id and digest, so no group of copies is one task's.
+    Null html is an empty payload, a null page_id a record without number, which no
+    other refers to; repeated rows are a record each; an empty table has no archives.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
@@ -206,6 +208,7 @@ def read_records(ranges: DataFrame, payloads: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, and payload if asked (null for revisits).
 
     A response's size and digest are those of the payload read, and its digest must be the one in its header.
+    Records without number give a null page_id, empty payloads size 0; repeated ranges give their record each; no ranges, no rows.
     """
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
