@@ -469,7 +469,7 @@ def _(spark, d):
 
 @query("r3_nearest_vectors", f"WITH {_VQ} SELECT query_id, id, round(cos, 6) AS cos FROM cos WHERE cos > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) <= 50")
 def _(spark, d):
-    return search._top(vectors.cosines(_vector_queries(spark, d), td.vectors(spark, d)).filter("cos > 0"), 50, F.col("cos").desc(), F.col("id")).select("query_id", "id", F.round("cos", 6).alias("cos"))
+    return search._top(vectors.cosines(_vector_queries(spark, d), td.vectors(spark, d), top=50).filter("cos > 0"), 50, F.col("cos").desc(), F.col("id")).select("query_id", "id", F.round("cos", 6).alias("cos"))
 
 
 _POOL = "pool AS (SELECT query_id, id, -CAST((query_id * 7 + id * 13) % 101 AS DOUBLE) / 10 AS rank FROM cos WHERE id % 3 = query_id % 3)"
