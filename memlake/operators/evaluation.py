@@ -26,13 +26,14 @@ def percentiles(rows: DataFrame, by: str, value: str, wanted: dict[str, tuple[st
     return counts.groupBy(by).agg(*(F.min(F.when(F.col("_upto") >= place(*what), F.col(value))).alias(name) for name, what in wanted.items()))
 
 
-def rank_metrics(ranked: DataFrame, gold: DataFrame, k: int = 3, recall_at: int = 10) -> DataFrame:
+def rank_metrics(ranked: DataFrame, gold: DataFrame, k: int = 3, recall_at: int = 10, sizes: DataFrame | None = None) -> DataFrame:
     """query_id, precision, recall, rr of every query that has gold.
 
-    ranked: query_id, id, place (from 1). gold: query_id, id.
+    ranked: query_id, id, place (from 1); up to recall_at and each query's first gold
+    row are enough. gold: query_id, id; with sizes (query_id, n_gold) only that of ranked rows is needed.
     """
     g = gold.select("query_id", "id").distinct()
-    sizes = g.groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    sizes = g.groupBy("query_id").agg(F.count("*").alias("n_gold")) if sizes is None else sizes.filter("n_gold > 0")
     hit = ranked.join(g, ["query_id", "id"]).groupBy("query_id").agg(F.count_if(F.col("place") <= k).alias("in_k"), F.count_if(F.col("place") <= recall_at).alias("in_r"), F.min("place").alias("first"))
     both = sizes.join(hit, "query_id", "left")
     return both.select(
